@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_counts, token_files
+from . import fingerprints, packing, quality, simhash_dedup, token_counts, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash_dedup": simhash_dedup.query,
     "op3_packing": packing.query,
+    "op5_fingerprints": fingerprints.query,
+    "op6_toxicity": toxicity.query,
     "op8_token_counts": token_counts.query,
+    "op9_quality": quality.query,
     "op10_token_files": token_files.query,
 }
 
