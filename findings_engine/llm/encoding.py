@@ -16,7 +16,7 @@ import re
 
 import numpy as np
 
-MEMO_CHUNKS = 450_000
+MEMO_CHUNKS = 800_000
 MEMO_CHARS = 64
 _LONE_SPACE = re.compile(r"(?<! ) (?! )")
 
