@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, packing, quality, simhash_dedup, token_counts, token_files, toxicity
+from . import chat, fingerprints, media, packing, quality, simhash_dedup, token_counts, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": simhash_dedup.query,
     "op3_packing": packing.query,
+    "op4_media": media.query,
     "op5_fingerprints": fingerprints.query,
     "op6_toxicity": toxicity.query,
+    "op7_chat": chat.query,
     "op8_token_counts": token_counts.query,
     "op9_quality": quality.query,
     "op10_token_files": token_files.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_chat": chat.ORACLE}
