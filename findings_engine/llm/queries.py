@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, fingerprints, media, packing, quality, simhash_dedup, token_counts, token_files, toxicity
+from . import chat, fingerprints, media, packing, quality, segmentation, simhash_dedup, token_counts, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": simhash_dedup.query,
+    "op2_segmentation": segmentation.query,
     "op3_packing": packing.query,
     "op4_media": media.query,
     "op5_fingerprints": fingerprints.query,

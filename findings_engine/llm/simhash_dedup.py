@@ -250,7 +250,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """fp, component_id, docs (rows with this fingerprint) for each distinct ``fp`` of (doc_id, fp)."""
+    """fp, root, component_id, docs (rows with this fingerprint) for each distinct ``fp`` of (doc_id, fp)."""
     distinct = common.materialize(
         fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("docs")), "fingerprints"
     )
@@ -262,7 +262,7 @@ def classes(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         "rooted",
     )
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return common.materialize(named.join(least, "root").select("fp", "component_id", "docs"), "classes")
+    return common.materialize(named.join(least, "root").select("fp", "root", "component_id", "docs"), "classes")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -279,3 +279,40 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS)
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def keep_one(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component the row with the smallest doc_id.
+
+    All columns are kept, whatever their names. Where that row is repeated, one
+    of its repeats stays, the first by its text's digest.
+    """
+    from pyspark.sql.functions import pandas_udf
+    from pyspark.sql.window import Window
+
+    @pandas_udf("bigint")
+    def fingerprint(texts):
+        return texts.map(lambda t: signed(majority(shingle_hashes(t, size))))
+
+    common.small_batches(docs.sparkSession)
+    fp, rows, place = "_fp", "_rows", "_place"
+    while {fp, rows, place} & set(docs.columns):
+        fp, rows, place = "_" + fp, "_" + rows, "_" + place
+    tagged = common.materialize(docs.withColumn(fp, fingerprint(common.digest_text())), "tagged")
+    fps = tagged.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(fp).alias("fp"))
+    keep = (
+        fps.join(classes(fps, radius), "fp")
+        .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .groupBy("root")
+        .agg(F.first("component_id").alias(place), F.min("fp").alias(fp), F.count("*").alias(rows))
+        .select(place, fp, rows)
+    )
+    keep = common.materialize(keep, "keep")
+    k, t = keep.alias("k"), tagged.alias("t")
+    found = t.join(
+        k,
+        (F.col(f"t.{fp}") == F.col(f"k.{fp}")) & F.col("t.doc_id").cast("long").eqNullSafe(F.col(f"k.{place}")),
+    ).select("t.*", f"k.{rows}")
+    repeats = Window.partitionBy(fp, "doc_id").orderBy(F.xxhash64("text"))
+    repeated = found.where(F.col(rows) > 1).withColumn(place, F.row_number().over(repeats)).where(F.col(place) == 1)
+    return found.where(F.col(rows) == 1).select(*docs.columns).unionByName(repeated.select(*docs.columns))
