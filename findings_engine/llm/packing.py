@@ -86,11 +86,8 @@ def document_frequencies(encoded: DataFrame, size: int, kind: str) -> tuple[np.n
     def run(batches):
         total = np.zeros(size, np.int64)
         for b in common.pieces(batches, 128):
-            rows = [np.frombuffer(x.as_buffer(), kind) for x in b.column("ids")]
-            seen = np.zeros((len(rows), size), bool)
-            for i, x in enumerate(rows):
-                seen[i, x] = True
-            total += seen.sum(axis=0)
+            for x in b.column("ids").to_pylist():
+                total[np.unique(np.frombuffer(x, kind))] += 1
         has = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(has, pa.int32()), pa.array(total[has])], schema=schema)
 
