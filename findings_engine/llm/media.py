@@ -5,8 +5,9 @@ where a rolling gear hash of its last 32 bytes has its MASK bits clear, at
 lengths from LEAST to MOST bytes, so an edit moves only the cuts near it. A
 chunk's digest is SHA-256.
 
-The store: one row per distinct chunk, with its bytes compressed, bucketed by
-digest, so that it is written and joined without another shuffle. A recipe is
+The store: one row per distinct chunk, with its bytes compressed under a shared
+zstandard dictionary (trained on the starts of a bounded sample of payloads),
+bucketed by digest, so that it is written and joined without another shuffle. A recipe is
 an ordered list of digests and lengths; equal payloads share one. Chunks are
 deduplicated in each task, then by digest over all of them. Reconstruction
 joins the distinct payloads' recipes to the store, puts the chunks in order and
@@ -35,6 +36,7 @@ from . import common
 
 UNIT, LEAST, MOST, MASK, LEVEL = 64, 1024, 32 << 10, np.uint32((1 << 12) - 1), 3
 SEEN_DIGESTS = 400_000
+SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1000, 4096, 112 << 10
 RECIPE = "doc_id bigint, n_bytes bigint, payload binary, chunks array<struct<digest:binary,size:int>>"
 FOUND = (
     "payload binary, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint,"
@@ -112,7 +114,20 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.digest_text().alias("text"))
 
 
-def store_chunks(docs: DataFrame, buckets: int) -> str:
+def train_dictionary(docs: DataFrame) -> bytes:
+    """From at most 2 * SAMPLE_DOCS texts' first SAMPLE_CHARS characters; empty where those are too few."""
+    import zstandard
+
+    share = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 20))
+    most = int(min(1.0, SAMPLE_DOCS / max(1, docs.count())) * (1 << 20)) + 1
+    rows = docs.where(share < most).select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(2 * SAMPLE_DOCS).collect()
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, sorted(payload_of(r.text) for r in rows)).as_bytes()
+    except zstandard.ZstdError:
+        return b""
+
+
+def store_chunks(docs: DataFrame, buckets: int, dictionary: bytes) -> str:
     """Write each distinct chunk once; the store's table name."""
     import zstandard
 
@@ -120,7 +135,8 @@ def store_chunks(docs: DataFrame, buckets: int) -> str:
     schema = common.arrow_schema("digest binary, stored binary")
 
     def run(batches):
-        c, seen = zstandard.ZstdCompressor(level=LEVEL), set()
+        shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+        c, seen = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared, write_checksum=False), set()
         for b in common.pieces(batches):
             new = {}
             for text in b.column("text").to_pylist():
@@ -147,7 +163,7 @@ def store_chunks(docs: DataFrame, buckets: int) -> str:
     return name
 
 
-def reconstruct(spark: SparkSession, recipe: DataFrame, store: str) -> DataFrame:
+def reconstruct(spark: SparkSession, recipe: DataFrame, store: str, dictionary: bytes) -> DataFrame:
     """FOUND for each distinct payload, from the stored bytes."""
     import zstandard
 
@@ -161,7 +177,8 @@ def reconstruct(spark: SparkSession, recipe: DataFrame, store: str) -> DataFrame
     schema = common.arrow_schema(FOUND)
 
     def run(batches):
-        d = zstandard.ZstdDecompressor()
+        shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+        d = zstandard.ZstdDecompressor(dict_data=shared)
         for b in common.pieces(batches, 32):
             rows = []
             for name, parts in zip(b.column("payload").to_pylist(), b.column("parts").to_pylist(), strict=True):
@@ -183,8 +200,9 @@ def store_and_read(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     recipe = common.materialize(recipes(docs), "recipes")
     buckets = common.shuffle_width(spark)
-    store = store_chunks(docs, buckets)
-    found = common.materialize(reconstruct(spark, recipe, store), "media")
+    dictionary = train_dictionary(texts_of(docs))
+    store = store_chunks(docs, buckets, dictionary)
+    found = common.materialize(reconstruct(spark, recipe, store, dictionary), "media")
     return (
         recipe.select("doc_id", "n_bytes", "payload", F.size("chunks").alias("n_chunks"))
         .join(found, "payload")
