@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-UNIT, LEAST, MOST, MASK, LEVEL = 64, 1024, 32 << 10, np.uint32((1 << 12) - 1), 3
+UNIT, LEAST, MOST, MASK, LEVEL = 64, 1024, 32 << 10, np.uint32((1 << 12) - 1), 9
 SEEN_DIGESTS = 400_000
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1000, 4096, 112 << 10
 RECIPE = "doc_id bigint, n_bytes bigint, payload binary, chunks array<struct<digest:binary,size:int>>"
