@@ -103,9 +103,8 @@ def related(found: DataFrame) -> DataFrame:
 
 def id_styles(registers: DataFrame) -> DataFrame:
     """style, n: the identifier styles that headings really use."""
-    style = r"(?U)^#{2,6}\s+([A-Za-z][A-Za-z0-9_]*(?:-[A-Za-z][A-Za-z0-9_]*)*)-?(\d+)\b"
     h = registers.select(F.explode(heading_lines(C.unix_lines(F.col("text")))).alias("h"))
-    stem, digits = F.regexp_extract("h", style, 1), F.regexp_extract("h", style, 2)
+    stem, digits = F.regexp_extract("h", rx.ID_STYLE, 1), F.regexp_extract("h", rx.ID_STYLE, 2)
     sep = F.when(F.contains(F.col("h"), F.concat(F.col("stem"), F.lit("-"), F.col("digits"))), "-").otherwise("")
     return (
         h.select(C.rstrip(F.col("h")).alias("h"), stem.alias("stem"), digits.alias("digits"))

@@ -78,7 +78,7 @@ def tokens(body: Column, stop: list[str], min_len: int) -> Column:
 
 
 def symbol_refs(
-    notes: DataFrame, names: DataFrame, min_len: int = DEFAULT_MIN_LEN, stopwords: frozenset[str] = rx.STOPWORDS
+    notes: DataFrame, names: DataFrame, min_len: int = DEFAULT_MIN_LEN, stopwords: tuple[str, ...] = rx.STOPWORDS
 ) -> DataFrame:
     """notes (note, body) and names (name) to note, name, evidence: known names, the strongest evidence of each.
 
