@@ -93,15 +93,18 @@ def check(
 
 
 def duplicates(found: DataFrame, titles: DataFrame) -> DataFrame:
-    """note, of: the first other note, in the vault's order, with the same normalised title."""
+    """note, of: the first other note, in the vault's order, with the same normalised title.
+
+    Only the first two notes of a title can be an answer, so a title that many
+    notes share is never paired with itself.
+    """
     mine = found.select(F.col("id").alias("note"), C.norm_title(F.col("lint_title")).alias("title")).where("title <> ''")
-    other = titles.select(F.col("note").alias("of"), "title", "ord")
-    return (
-        mine.join(other, "title")
-        .where("note <> of")
-        .groupBy("note")
-        .agg(F.min_by("of", F.struct("ord", "of")).alias("of"))
-    )
+    each = titles.select("title", F.struct("ord", F.col("note").alias("of")).alias("t"))
+    first = each.groupBy("title").agg(F.min("t").alias("one"))
+    second = each.join(first, "title").where(F.col("t.of") != F.col("one.of")).groupBy("title").agg(F.min("t").alias("two"))
+    two = first.join(second, "title", "left")
+    of = F.when(F.col("one.of") != F.col("note"), F.col("one.of")).otherwise(F.col("two.of"))
+    return mine.join(two, "title").select("note", of.alias("of")).where(F.col("of").isNotNull())
 
 
 def only_new(found: DataFrame, manifest_notes: DataFrame) -> DataFrame:
