@@ -203,7 +203,7 @@ body as (
     "wants": (("li",), """
 wants as (
   select k, name, case when k % 11 = 0 then path else 'nowhere.py' end as want
-  from (select *, row_number() over (partition by k order by ln, pk) as at from li where k % 11 = 0 or k % 13 = 0) where at = 1
+  from (select *, row_number() over (partition by k order by ln, pk) as place from li where k % 11 = 0 or k % 13 = 0) where place = 1
 )"""),
     "dec": (("li", "body", "wants", "defs"), """
 refs as (

@@ -11,6 +11,7 @@ from ..functions import rx
 from ..operators import references as R
 from ..operators import resolve as V
 from ..operators import rollups as U
+from .tables import stored
 
 
 @dataclass(frozen=True)
@@ -43,12 +44,13 @@ def decide(notes: DataFrame, symbols: DataFrame, options: LinkOptions = LinkOpti
 
 def link(notes: DataFrame, symbols: DataFrame, files: DataFrame, options: LinkOptions = LinkOptions()) -> Linked:
     """files: (path, basename), see repo_files."""
-    return outcome(notes, symbols, decide(notes, symbols, options), files, options)
+    return outcome(notes, symbols, stored(decide(notes, symbols, options), "decisions"), files, options)
 
 
 def outcome(notes: DataFrame, symbols: DataFrame, decisions: DataFrame, files: DataFrame, options: LinkOptions) -> Linked:
-    resolved = R.resolve_files(R.file_refs(notes), files)
-    links = V.cap_links(decisions, options.max_links)
+    """decisions: a stored table; it and the resolved files are read for each of the outcome's tables."""
+    resolved = stored(R.resolve_files(R.file_refs(notes), files), "resolved")
+    links = stored(V.cap_links(decisions, options.max_links), "linked")
     anchors = V.cap_anchors(resolved, links, options.max_links)
     withheld = V.ambiguous(decisions, resolved)
     bare = V.unlinked(notes, links, anchors, withheld, symbols)

@@ -94,9 +94,9 @@ def finding_titles(spark, d):
 
 
 @query("""
-select 'RES-' || o_orderkey as id, ref, at as rank from orders
+select 'RES-' || o_orderkey as id, ref, place as rank from orders
 cross join lateral (select unnest(case when o_orderkey = 0 then ['RES-1', 'RES2'] else ['RES2', 'RES-' || (o_orderkey + 1)] end) as ref,
-  unnest([0, 1]) as at) where o_orderkey % 5 = 0""")
+  unnest([0, 1]) as place) where o_orderkey % 5 = 0""")
 def related_refs(spark, d):
     return N.related(_findings(spark, d)).select("id", "ref", F.col("rank").cast("long").alias("rank"))
 
@@ -113,7 +113,7 @@ def status_counts(spark, d):
 
 @query(O.sql("""
 select 'RES-<n>' as style, count(*) as n from sec having count(*) > 0
-union all select 'F<n>', count(*) from orders where o_orderkey % 3 = 0 having count(*) > 0""", "sec"))
+union all select 'F1<n>', count(*) from orders where o_orderkey % 3 = 0 having count(*) > 0""", "sec"))
 def id_styles(spark, d):
     return N.id_styles(_registers(spark, d))
 
@@ -442,7 +442,7 @@ tok as (
 ), seen as (
   select tok.*, idx.paths is not null as indexed, coalesce(idx.paths > 4, false) as wide from tok left join idx on idx.name = tok.tail
 ), facts as (
-  select k, coalesce(bool_or(not wide), false) as names, coalesce(bool_or(indexed and not wide), false) as anchor, count(token) > 0 as some
+  select k, coalesce(bool_or(not wide), false) as names, coalesce(bool_or(indexed and not wide), false) as anchor, count(token) > 0 as named
   from (select distinct k from li) left join seen using (k) group by k
 )"""
 _SRC0 = "src0 as (select distinct name, path from p where pk % 10 = 0)"
@@ -453,7 +453,7 @@ def _lint_sql(select: str) -> str:
     return f"{base},{_SRC0},{_LINT}\n{select}"
 
 
-@query(_lint_sql("select 'RES-' || k as id, some as has_names from facts where not names"))
+@query(_lint_sql("select 'RES-' || k as id, named as has_names from facts where not names"))
 def lint_prose_only(spark, d):
     got = L.check(_lint_findings(spark, d), _sources_index(spark, d))
     return got.where(F.col("code") == "prose-only").select("id", (F.col("detail") == L.COMMON_NAMES).alias("has_names"))
