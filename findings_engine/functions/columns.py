@@ -130,3 +130,12 @@ def text_line_number(text: Column) -> Column:
 
 def escape_pipe(c: Column) -> Column:
     return F.replace(c, F.lit("|"), F.lit("\\|"))
+
+
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it, in lambdas too.
+
+    The optimizer puts a column that is used once into its place; if that place
+    is a lambda, the column would be computed again for each element.
+    """
+    return F.get(F.transform(F.array(value), f), F.lit(0))

@@ -89,6 +89,8 @@ def symbol_refs(
     t = F.explode(tokens(F.col("body"), stop, min_len)).alias("t")
     tried = notes.select("note", t).select("note", "t.rank", "t.token", F.posexplode("t.names").alias("turn", "name"))
     known = tried.join(names.select("name").distinct(), "name", "left_semi")
+    # Both groupings and the later join on the note work within this one partitioning.
+    known = known.repartition(int(notes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "note")
     first = known.groupBy("note", "rank", "token").agg(F.min_by("name", "turn").alias("name"))
     best = first.groupBy("note", "name").agg(F.min("rank").alias("rank"))
     return best.select("note", "name", F.when(F.col("rank") == INLINE, "inline-code").otherwise("identifier").alias("evidence"))

@@ -37,14 +37,13 @@ def dotted_refs(chains: Column, name: Column) -> Column:
 
 
 def matches_qualified(loc: Column, ref: Column) -> Column:
-    q = C.or_null(loc["qualified_name"])
+    q = loc["qualified_name"]
     dot = lambda x: F.concat(F.lit("."), x)
-    return F.coalesce((q == ref) | q.endswith(dot(ref)) | (q.contains(".") & ref.endswith(dot(q))), F.lit(False))
+    return F.coalesce((q != "") & ((q == ref) | q.endswith(dot(ref)) | (q.contains(".") & ref.endswith(dot(q)))), F.lit(False))
 
 
-def matches_path(loc: Column, ref: Column) -> Column:
-    segments, parts = F.split(ref, r"\."), loc["parts"]
-    whole = F.size(segments)
+def matches_path(loc: Column, segments: Column) -> Column:
+    parts, whole = loc["parts"], F.size(segments)
 
     def last(k, wanted):
         return (F.size(parts) >= k) & (F.slice(parts, F.greatest(F.size(parts) - k + 1, F.lit(1)), k) == wanted)
@@ -52,6 +51,35 @@ def matches_path(loc: Column, ref: Column) -> Column:
     return last(whole - 1, F.slice(segments, 1, whole - 1)) | last(whole, segments)
 
 
+def _evidence(locs: Column, body: Column, name: Column, want: Column, refs: Column) -> Column:
+    """Which definitions each kind of evidence points at."""
+
+    def any_ref(test):
+        return F.filter(locs, lambda x: F.exists(refs, lambda r: test(x, r)))
+
+    def found(dq):
+        rest = F.when((F.size(refs) > 0) & (F.size(dq) == 0), any_ref(lambda x, r: matches_path(x, r["segments"]))).otherwise(dq)
+        q = F.filter(
+            locs,
+            lambda x: F.coalesce(
+                (x["qualified_name"] != "") & (x["qualified_name"] != name) & F.contains(body, x["qualified_name"]), F.lit(False)
+            ),
+        )
+        o = F.filter(
+            locs,
+            lambda x: F.coalesce(x["qualified_name"] == want, F.lit(False))
+            | (x["path"] == want)
+            | (C.location(x["path"], x["line"]) == want),
+        )
+        return F.struct(
+            F.size(refs).alias("refs"), F.size(dq).alias("dq"), rest.alias("d"), q.alias("q"),
+            F.filter(locs, lambda x: F.contains(body, x["path"])).alias("p"),
+            F.when(want.isNotNull(), o).otherwise(F.slice(locs, 1, 0)).alias("o"),
+        )
+
+    return C.let(any_ref(lambda x, r: matches_qualified(x, r["ref"])), found)
+
+
 def resolve(refs: DataFrame, notes: DataFrame, symbols: DataFrame) -> DataFrame:
     """refs (note, name, evidence), notes (note, body, overrides) and symbol_def to one decision a reference.
 
@@ -59,42 +87,22 @@ def resolve(refs: DataFrame, notes: DataFrame, symbols: DataFrame) -> DataFrame:
     and candidates (formatted, in definition order).
     """
     defined = definitions_by_name(symbols)
+    spelled = F.transform(
+        dotted_refs(F.col("chains"), F.col("name")), lambda r: F.struct(r.alias("ref"), F.split(r, r"\.").alias("segments"))
+    )
+    wanted = F.try_element_at("overrides", F.col("name"))
     rows = (
         refs.join(defined, "name")
         .join(notes.select("note", "body", "overrides", C.find_all(F.col("body"), rx.CHAIN, 0).alias("chains")), "note")
-        .withColumn("refs", dotted_refs(F.col("chains"), F.col("name")))
-        .withColumn("want", F.try_element_at("overrides", F.col("name")))
-    )
-    locs, body = F.col("locations"), F.col("body")
-    any_ref = lambda test: F.filter(locs, lambda x: F.exists("refs", lambda r: test(x, r)))
-    rows = (
-        rows.withColumn("dq", any_ref(matches_qualified))
-        .withColumn("dp", F.when(F.size("dq") == 0, any_ref(matches_path)).otherwise(F.slice(locs, 1, 0)))
-        .withColumn("d", F.when(F.size("dq") > 0, F.col("dq")).otherwise(F.col("dp")))
-        .withColumn(
-            "q",
-            F.filter(
-                locs,
-                lambda x: F.coalesce(
-                    (x["qualified_name"] != "") & (x["qualified_name"] != F.col("name")) & F.contains(body, x["qualified_name"]),
-                    F.lit(False),
-                ),
-            ),
-        )
-        .withColumn("p", F.filter(locs, lambda x: F.contains(body, x["path"])))
-        .withColumn(
-            "o",
-            F.filter(
-                locs,
-                lambda x: F.coalesce(x["qualified_name"] == F.col("want"), F.lit(False))
-                | (x["path"] == F.col("want"))
-                | (C.location(x["path"], x["line"]) == F.col("want")),
-            ),
+        .select(
+            "note", "name", "evidence", "locations", wanted.alias("want"),
+            C.let(spelled, lambda r: _evidence(F.col("locations"), F.col("body"), F.col("name"), wanted, r)).alias("m"),
         )
-    )
+        .select("note", "name", "evidence", "locations", "want", "m.*")
+    )
     n = lambda c: F.size(c)
     first = lambda c: F.get(c, F.lit(0))
-    dotted = n("refs") > 0
+    dotted = F.col("refs") > 0
     decided = [
         (F.col("want").isNotNull() & (n("o") > 0), "frontmatter-override", first("o")),
         (F.col("want").isNotNull(), "override-unmatched", None),
@@ -110,7 +118,7 @@ def resolve(refs: DataFrame, notes: DataFrame, symbols: DataFrame) -> DataFrame:
         ),
         (n("q") == 1, "qualified-name", first("q")),
         (n("p") == 1, "path-in-note", first("p")),
-        (dotted & (n("d") == 1) & (n("dq") > 0), "dotted-name", first("d")),
+        (dotted & (n("d") == 1) & (F.col("dq") > 0), "dotted-name", first("d")),
         (dotted & (n("d") == 1), "dotted-path", first("d")),
         (dotted, "dotted-ambiguous", None),
     ]

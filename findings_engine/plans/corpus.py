@@ -29,6 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _dealt(df: DataFrame, key: str) -> DataFrame:
+    """By key over all partitions: parsing these texts costs far more than their size tells."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def _s(c) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("string")
 
@@ -55,7 +60,7 @@ def registers(orders: DataFrame) -> DataFrame:
     parts = F.when(k % 7 == 0, F.array(first, again)).otherwise(F.array(first))
     rows = orders.select("o_custkey", F.struct(k.alias("k"), parts.alias("parts")).alias("s"))
     texts = F.flatten(F.transform(F.sort_array(F.collect_list("s")), lambda x: x["parts"]))
-    return rows.groupBy("o_custkey").agg(F.array_join(texts, "\n").alias("t")).select(
+    return _dealt(rows, "o_custkey").groupBy("o_custkey").agg(F.array_join(texts, "\n").alias("t")).select(
         F.concat(F.lit("reg-"), _s("o_custkey"), F.lit(".md")).alias("path"),
         F.concat(F.lit("# Register\n\nWhat was found.\n\n"), "t").alias("text"),
     )
@@ -116,7 +121,7 @@ def notes(lineitem: DataFrame, part: DataFrame) -> DataFrame:
         F.col("l_linenumber").alias("ln"), "pk", F.concat(F.lit("- "), mention, F.lit(" breaks\n")).alias("t"), "name", "path"
     )
     rows = lineitem.join(p, lineitem["l_partkey"] == p["pk"]).select(k.alias("k"), line.alias("l"))
-    whole = rows.groupBy("k").agg(F.array_sort(F.collect_list("l")).alias("ls"))
+    whole = _dealt(rows, "k").groupBy("k").agg(F.array_sort(F.collect_list("l")).alias("ls"))
     first = F.get("ls", F.lit(0))
     override = lambda to: F.concat(F.lit("findings:\n  "), first["name"], F.lit(": "), to, F.lit("\n"))
     over = F.when(F.col("k") % 11 == 0, override(first["path"])).when(F.col("k") % 13 == 0, override(F.lit("nowhere.py")))

@@ -38,13 +38,14 @@ class Linked:
 
 
 def decide(notes: DataFrame, symbols: DataFrame, options: LinkOptions = LinkOptions()) -> DataFrame:
+    """The decisions, stored: a filter on them must not be pushed into their computation."""
     refs = R.symbol_refs(notes, symbols, options.min_len, options.stopwords)
-    return V.resolve(refs, notes, symbols)
+    return stored(V.resolve(refs, notes, symbols), "decisions")
 
 
 def link(notes: DataFrame, symbols: DataFrame, files: DataFrame, options: LinkOptions = LinkOptions()) -> Linked:
     """files: (path, basename), see repo_files."""
-    return outcome(notes, symbols, stored(decide(notes, symbols, options), "decisions"), files, options)
+    return outcome(notes, symbols, decide(notes, symbols, options), files, options)
 
 
 def outcome(notes: DataFrame, symbols: DataFrame, decisions: DataFrame, files: DataFrame, options: LinkOptions) -> Linked:

@@ -24,6 +24,7 @@ from . import health as H
 from . import incremental as X
 from . import render as D
 from .link import LinkOptions, decide, link, located
+from .tables import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,7 +61,7 @@ def _notes(spark, d):
 
 
 def _linked(spark, d, options=LinkOptions()):
-    return link(_notes(spark, d), _symbols(spark, d), _files(spark, d), options)
+    return link(stored(_notes(spark, d), "notes"), stored(_symbols(spark, d), "symbols"), _files(spark, d), options)
 
 
 def _joined(c, sep=" "):
@@ -428,7 +429,7 @@ def _lint_findings(spark, d):
     extra = F.when(k % 10 == 0, F.lit("- `missing_thing`\n")).otherwise("")
     status = F.when(k % 4 == 0, F.lit("### STATUS: OPEN\n")).otherwise("")
     text = F.concat(F.lit("\n"), head, lines, extra, status)
-    return N.findings(N.blocks(notes.select(F.col("note").alias("path"), text.alias("text"))))
+    return stored(N.findings(N.blocks(notes.select(F.col("note").alias("path"), text.alias("text")))), "lint")
 
 
 _LINT = """
@@ -528,7 +529,7 @@ def changed_names(spark, d):
 @query(O.sql("", "li", "defs").rstrip() + "," + _CHANGED + """
 select 'RES-' || k as note, k % 9 <> 0 and not bool_or(s <> 5 and name in (select name from changed)) as skipped from li group by k""")
 def skip_proof(spark, d):
-    notes, files, old = _notes(spark, d), _files(spark, d), _old_symbols(spark, d)
+    notes, files, old = stored(_notes(spark, d), "notes"), _files(spark, d), stored(_old_symbols(spark, d), "old")
     before = notes.withColumn("body", F.when(C.number_of(F.col("note")) % 9 == 0, F.concat("body", F.lit("more\n"))).otherwise(F.col("body")))
     options = LinkOptions()
     state = X.state_of(link(before, old, files, options), old, options)
@@ -539,7 +540,8 @@ def skip_proof(spark, d):
 @query(O.sql("select note, name, path, line, rank from links", "links"))
 def relink_incremental(spark, d):
     """What an incremental pass leaves equals a full one."""
-    notes, files, old, new = _notes(spark, d), _files(spark, d), _old_symbols(spark, d), _symbols(spark, d)
+    notes, files = stored(_notes(spark, d), "notes"), _files(spark, d)
+    old, new = stored(_old_symbols(spark, d), "old"), stored(_symbols(spark, d), "new")
     options = LinkOptions()
     first = link(notes, old, files, options)
     done, _ = X.relink(notes, new, files, X.state_of(first, old, options), first.decisions, options)
