@@ -155,8 +155,9 @@ def within(queries: DataFrame, all_fps: DataFrame, radius: int = RADIUS, blocks:
     a = keyed(all_fps.groupBy("fp").agg(F.count("*").alias("docs")), "fp")
     differ = F.col("query_fp").bitwiseXOR(F.col("fp"))
     first = F.coalesce(*[F.when(differ.bitwiseAND(F.lit(m)) == 0, F.lit(i)) for i, m in enumerate(masks)])
+    # Merged, not broadcast: Spark would judge the queries' size before they become a row for each table.
     return (
-        q.join(a, ["t", "k"])
+        q.hint("merge").join(a, ["t", "k"])
         .where((F.bit_count(differ) <= radius) & (first == F.col("t")))
         .select("query_fp", "fp", "docs", F.bit_count(differ).alias("distance"))
     )
