@@ -395,3 +395,48 @@ def test_pipeline_keeps_what_it_should(spark, tmp_path):
         kept = after
     _, last = corpus_pipeline.STAGES[-1]
     assert {r.doc_id for r in last(spark, kept, sf).select("doc_id").collect()} == {r.doc_id for r in kept.select("doc_id").collect()}
+
+
+def _near_texts():
+    """Chains, edits, containment, copies, hot passages, short and empty texts."""
+    r = np.random.default_rng(7)
+    text = lambda n: [f"w{x}" for x in r.integers(0, 5000, n)]
+    hot, out = text(40), ["", None, "one two", "ONE  two", "a b c d e", "a b c d e f"]
+    for n in (20, 60, 250):
+        for _ in range(12):
+            base = text(n)
+            out += [" ".join(base), " ".join(base + hot)]
+            for edits in (1, 2, 4, 6, 9):
+                words = list(base)
+                for i in r.choice(n, min(edits, n // 10), replace=False):
+                    words[i] = f"x{r.integers(1 << 30)}"
+                out.append(" ".join(words))
+            out += [" ".join(base[: int(n * 0.8)]), " ".join(base[: int(n * 0.85)])]
+    return out
+
+
+@pytest.mark.parametrize("sample, chunk", [(8192, 512), (40, 3)])
+def test_pipeline_dedup_links_by_five_words(spark, monkeypatch, sample, chunk):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    jaccard_dedup = pytest.importorskip("findings_engine.llm.jaccard_dedup")
+    monkeypatch.setattr(jaccard_dedup, "SAMPLE", sample)
+    monkeypatch.setattr(jaccard_dedup, "CHUNK", chunk)
+    rows = [*enumerate(_near_texts()), (None, "no id"), (None, "no id"), (3, "one TWO"), (9000, "same row"), (9000, "same row")]
+    df = spark.createDataFrame([(i, t, 0, 0, 0, 0) for i, t in rows], "doc_id bigint, text string, _tie int, _id int, n int, node int")
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(rows)))
+    fewer = 0
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        x, y = sets[a], sets[b]
+        if x == y or 10 * len(x & y) >= 8 * len(x | y):
+            fewer += (_plain_fingerprint(rows[a][1]) ^ _plain_fingerprint(rows[b][1])).bit_count() > 2
+            root = [root[a] if q == root[b] else q for q in root]
+    assert fewer > 10  # the two-bit radius of op1 loses these
+    want = sorted(min((rows[i][0] for i in g if rows[i][0] is not None), default=-1) for g in _groups(range(len(rows)), root.__getitem__))
+    got = corpus_pipeline.dedup_stage(spark, df.repartition(3), "")
+    assert got.columns == df.columns
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in got.collect()) == want
+    assert corpus_pipeline.dedup_stage(spark, df.limit(0), "").count() == 0
