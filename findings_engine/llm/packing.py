@@ -129,6 +129,14 @@ class Shard:
         )
 
 
+def best(rank: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k highest ranks in falling order, ties by place."""
+    least = -np.partition(-rank, k - 1)[k - 1]
+    above = np.flatnonzero(rank > least)
+    found = np.concatenate([above, np.flatnonzero(rank == least)[: k - len(above)]])
+    return found[np.lexsort((found, -rank[found]))]
+
+
 def windows(docs: list[np.ndarray], starts: list[int], idf: np.ndarray, mean: float, window: int):
     """Lists of (document, from, to); all but the last fill ``window``. starts: ids used before."""
     index = Shard(docs, idf, mean)
@@ -158,17 +166,13 @@ def windows(docs: list[np.ndarray], starts: list[int], idf: np.ndarray, mean: fl
         take(seed)
         if room:
             rank = np.where(free, index.scores(seed), -1.0)
-            left, k = int(free.sum()), 64
-            done = 0
-            while room and done < left:
-                k = min(k, left)
-                best = np.argpartition(-rank, k - 1)[:k] if k < len(rank) else np.arange(len(rank))
-                best = best[np.lexsort((best, -rank[best]))][done:k]
-                for d in best.tolist():
+            k = 64
+            while room and (left := int(free.sum())):
+                for d in best(rank, min(k, left)).tolist():
                     if not room:
                         break
                     take(d)
-                done, k = k, k * 8
+                rank, k = np.where(free, rank, -1.0), k * 8
         yield out
         seed = nxt
 

@@ -440,3 +440,20 @@ def test_pipeline_dedup_links_by_five_words(spark, monkeypatch, sample, chunk):
     assert got.columns == df.columns
     assert sorted(-1 if r.doc_id is None else r.doc_id for r in got.collect()) == want
     assert corpus_pipeline.dedup_stage(spark, df.limit(0), "").count() == 0
+
+
+@pytest.mark.parametrize("kind", ["empty", "equal", "mixed"])
+def test_tied_neighbours_fill_windows(kind):
+    r = np.random.default_rng(5)
+    one, copy, idf = np.array([2]), np.array([5, 6, 7, 2]), np.linspace(1.0, 2.0, 500)
+    docs = {"empty": [one] * 6000, "equal": [copy] * 6000}.get(kind)
+    docs = docs or [(one, copy, r.integers(0, 500, 3), r.integers(0, 500, 90))[i % 4] for i in range(6000)]
+    found = list(packing.windows(docs, [0] * len(docs), idf, 4.0, 4096))
+    assert all(b > a for w in found for _, a, b in w)
+    assert all(sum(b - a for _, a, b in w) == 4096 for w in found[:-1])
+    ids = {}
+    for d, a, b in itertools.chain(*found):
+        ids.setdefault(d, []).extend(range(a, b))
+    assert all(ids[d] == list(range(len(x))) for d, x in enumerate(docs))
+    if kind == "empty":  # ties go to the lower place
+        assert [d for w in found for d, _, _ in w] == list(range(6000))
