@@ -64,3 +64,8 @@ def test_half_a_state_is_none(spark):
     loc = '{"path":"p","line":1}'
     for text, n in ((whole % (3, note % loc), 1), (whole % (2, note % loc), 0), (whole % (3, note % ""), 0), ("{", 0)):
         assert G.link_state(spark.createDataFrame([(text,)], "text string"))[1].count() == n
+
+
+def test_every_file_with_known_findings_gets_its_answer(spark, sf):
+    known = {r.path for r in Q.consult_topk(spark, sf).select("path").distinct().collect()}
+    assert {r.path for r in Q.consult_context(spark, sf).select("path").collect()} == known
