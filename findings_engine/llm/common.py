@@ -5,7 +5,9 @@
   a recomputation, and so statistics of the written table steer later joins.
 * ``digest_text``: null-safe text.
 * ``map_batches``: Arrow batches through a Python generator, cut to a bounded
-  number of bytes, so memory doesn't depend on how many rows Spark puts in one.
+  number of rows, so memory doesn't depend on how many rows Spark puts in one.
+* ``tasks_for``: how many tasks a shuffle of a table needs, so that tasks stay
+  the same size when the table grows.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_ROWS = 1024
-BATCH_BYTES = 8 << 20
+MAX_TASKS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -59,6 +61,17 @@ def digest_text(col: str = "text"):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def sample_texts(texts: DataFrame, rows: int, chars: int) -> list[str]:
+    """Whole texts of at most ``rows`` rows of (doc_id, text), of those with at most ``chars`` characters.
+
+    Those with the least hashes, so a sample depends on the table alone. At most
+    ``rows`` times ``chars`` characters reach the driver.
+    """
+    h = F.xxhash64("doc_id", "text")
+    found = texts.where(F.length("text") <= chars).orderBy(h, "doc_id").select("text").limit(rows).collect()
+    return [r.text for r in found]
+
+
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, rows):
@@ -91,3 +104,10 @@ def arrow_schema(ddl: str) -> pa.Schema:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def tasks_for(df: DataFrame, size: int = 64 << 20) -> int:
+    """Tasks of about ``size`` stored bytes of ``df``, and no fewer than the session's shuffle partitions."""
+    stored = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    wide = -(-stored // size) if stored < 1 << 60 else 0  # Spark's way to say that it doesn't know
+    return max(shuffle_width(df.sparkSession), min(wide, MAX_TASKS))

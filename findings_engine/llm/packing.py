@@ -7,7 +7,7 @@
 3. Documents are dealt by range of (locality key, doc_id), so similar ones meet
    and a hot group is split. A task reads its range in shards of about
    SHARD_TOKENS ids and builds for each a BM25 inverted index.
-4. A seed document asks the index with its QUERY_TERMS heaviest terms; unused
+4. A seed document asks the index with all of its terms; unused
    neighbours, best first, fill its window, and the last is cut to fit. What is
    left of it seeds the next window. The last window of a task is split at powers
    of two, which need no padding, so nothing is padded at all.
@@ -28,10 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .encoding import encoder, vocabulary_path
+from .encoding import encoder, ragged, vocabulary_path
 
-WINDOW, SHARD_TOKENS, QUERY_TERMS, K1, B = 4096, 2 << 20, 24, 1.2, 0.75
+WINDOW, SHARD_TOKENS, DENSE, K1, B = 4096, 2 << 20, 8, 1.2, 0.75
 COMMON_IDS = 2000
+TASK_SHARDS = 32  # at most so many in one task, however large the table
 ENCODED = "doc_id bigint, locality bigint, n_tokens bigint, ids binary"
 PIECE = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint,"
@@ -63,10 +64,9 @@ def locality(ids: np.ndarray, size: int) -> int:
 def encode_documents(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     size = encoder(vocabulary).tok.get_vocab_size()
     kind = "<u2" if size <= 1 << 16 else "<u4"
-    end = np.array([end_id], "<u4").tobytes()
 
     def encode(b):
-        found = [np.frombuffer(x + end, "<u4") for x in encoder(vocabulary).encode_many(b.column("text").to_pylist())]
+        found = [np.append(x, np.uint32(end_id)) for x in encoder(vocabulary).encode_many(b.column("text").to_pylist())]
         return {
             "doc_id": b.column("doc_id"),
             "locality": [locality(x, size) for x in found],
@@ -75,7 +75,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame
         }
 
     texts = docs.select(F.col("doc_id").cast("long"), common.digest_text().alias("text"))
-    return common.map_batches(texts, ENCODED, encode)
+    return common.map_batches(texts, ENCODED, encode, common.BATCH_ROWS)
 
 
 def document_frequencies(encoded: DataFrame, size: int, kind: str) -> tuple[np.ndarray, int, int]:
@@ -99,7 +99,11 @@ def document_frequencies(encoded: DataFrame, size: int, kind: str) -> tuple[np.n
 
 
 class Shard:
-    """A BM25 inverted index over some documents' ids."""
+    """A BM25 inverted index over some documents' ids.
+
+    Rare terms have posting lists; of terms in over 1 / DENSE of the documents, which
+    have so many postings that lists would not be shorter, each is a column of weights.
+    """
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
         n, size = len(docs), len(idf)
@@ -110,23 +114,27 @@ class Shard:
         at, term = keys // size, keys % size
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[at] / mean))
         self.rows = np.searchsorted(at, np.arange(n + 1))
-        self.term, self.weight = term, weight
+        self.term, self.n = term, n
+        often = np.bincount(term, minlength=size) * DENSE > n
+        self.column = np.where(often, np.cumsum(often) - 1, -1)
+        self.dense = np.zeros((n, int(often.sum())), np.float32)
+        wide = often[term]
+        self.dense[at[wide], self.column[term[wide]]] = weight[wide]
+        at, term, weight = at[~wide], term[~wide], weight[~wide]
         order = np.argsort(term, kind="stable")
         self.docs, self.by_term = at[order], weight[order]
         self.terms = np.searchsorted(term[order], np.arange(size + 1))
-        self.n = n
 
     def scores(self, seed: int) -> np.ndarray:
-        a, b = self.rows[seed], self.rows[seed + 1]
-        terms = self.term[a:b]
-        if b - a > QUERY_TERMS:
-            terms = terms[np.argpartition(-self.weight[a:b], QUERY_TERMS)[:QUERY_TERMS]]
-        spans = [slice(self.terms[t], self.terms[t + 1]) for t in terms]
-        return np.bincount(
-            np.concatenate([self.docs[s] for s in spans]),
-            np.concatenate([self.by_term[s] for s in spans]),
-            minlength=self.n,
-        )
+        """Of all documents for all of the seed's terms."""
+        terms = self.term[self.rows[seed] : self.rows[seed + 1]]
+        column = self.column[terms]
+        asked = np.zeros(self.dense.shape[1], np.float32)
+        asked[column[column >= 0]] = 1
+        rare = terms[column < 0]
+        first, size = self.terms[rare], self.terms[rare + 1] - self.terms[rare]
+        places = ragged(first, size)
+        return self.dense @ asked + np.bincount(self.docs[places], self.by_term[places], self.n)
 
 
 def best(rank: np.ndarray, k: int) -> np.ndarray:
@@ -257,7 +265,8 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, window: int = WINDOW
                 rest = [(d, starts[d], len(x)) for d, x in enumerate(ids)]
                 yield rows(power_cuts(rest))
 
-    parts = max(1, min(common.shuffle_width(spark), -(-total // SHARD_TOKENS)))
+    shards = -(-total // SHARD_TOKENS)
+    parts = max(1, min(shards, max(common.shuffle_width(spark), -(-shards // TASK_SHARDS))))
     return (
         encoded.repartitionByRange(parts, "locality", "doc_id")
         .sortWithinPartitions("locality", "doc_id", F.xxhash64("ids"))

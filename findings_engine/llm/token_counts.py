@@ -22,6 +22,7 @@ from . import common
 from .encoding import encoder, vocabulary_path
 
 CACHE = "digest string, n_tokens bigint"
+FEW_MISSES = 100_000  # digests of 64 characters
 
 
 def tokenizer_version(path: str) -> str:
@@ -54,14 +55,28 @@ def encode_counts(texts: DataFrame, path: str) -> DataFrame:
 
     def count(b):
         ids = encoder(path).encode_many(b.column("text").to_pylist())
-        return {"digest": b.column("digest"), "n_tokens": [len(x) // 4 for x in ids]}
+        return {"digest": b.column("digest"), "n_tokens": [len(x) for x in ids]}
 
-    return common.map_batches(texts, CACHE, count)
+    return common.map_batches(texts, CACHE, count, common.BATCH_ROWS)
+
+
+def missing_texts(keyed: DataFrame, known: DataFrame) -> DataFrame:
+    """(digest, text) of each digest that ``known`` lacks, once.
+
+    Texts are folded by digest within each task before they move, so a text that
+    many rows share moves once a task. Where few digests are missing, their list
+    is sent to the tasks and only their texts move.
+    """
+    lacking = common.materialize(keyed.select("digest").distinct().join(known, "digest", "left_anti"), "lacking")
+    if lacking.count() <= FEW_MISSES:
+        keyed = keyed.join(F.broadcast(lacking), "digest", "left_semi")
+        return keyed.groupBy("digest").agg(F.first("text").alias("text"))
+    texts = keyed.groupBy("digest").agg(F.first("text").alias("text"))
+    return texts.join(known, "digest", "left_anti")
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, cache: TokenCache, limit: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit), digest; one row per input row."""
-    spark = docs.sparkSession
     version = tokenizer_version(vocabulary)
     keyed = docs.select("doc_id", common.digest_text().alias("text")).select(
         "doc_id",
@@ -69,9 +84,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, cache: TokenCache, limit: int
         F.octet_length("text").cast("long").alias("n_bytes"),
         F.sha2(F.concat(F.lit(version + ":"), "text"), 256).alias("digest"),
     )
-    known = cache.read()
-    lacking = keyed.select("digest", "text").join(known.select("digest"), "digest", "left_anti")
-    misses = lacking.groupBy("digest").agg(F.first("text").alias("text"))
+    misses = missing_texts(keyed.select("digest", "text"), cache.read().select("digest"))
     cache.append(encode_counts(misses, vocabulary))
     counts = common.materialize(cache.read(), "counts")
     return (

@@ -10,7 +10,7 @@ than shard k+1. A shard is a sequence of containers of about CONTAINER_BYTES:
 
 Each document is its own frame, so a short one is read with the index and one
 seek; the frames share a dictionary trained on the serialized ids of a bounded
-sample (SAMPLE_DOCS documents, SAMPLE_CHARS characters of each), stored beside
+sample (SAMPLE_DOCS documents of at most SAMPLE_CHARS characters, by hash), stored beside
 the containers and named in each of them by its digest. Containers are rows of
 a Parquet table: Spark's commit protocol keeps the files of a retried task from
 doubling, on any store Spark can write.
@@ -37,7 +37,7 @@ from .encoding import encoder, vocabulary_path
 MAGIC = b"FETOK1\0\0"
 HEAD = struct.Struct("<8s32sBxxxIQ")
 CONTAINER_BYTES = 4 << 20
-SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1000, 4096, 64 << 10
+SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1000, 8192, 64 << 10
 INDEX = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("at", "<u8"), ("size", "<u4"), ("ids", "<u8")])
 CONTAINER = "shard int, container int, first_id bigint, ids bigint, data binary"
 DICTIONARY = "digest binary, data binary"
@@ -48,20 +48,12 @@ def width(vocabulary_size: int) -> str:
     return "<u2" if vocabulary_size <= 1 << 16 else "<u4"
 
 
-def train_dictionary(docs: DataFrame, path: str, kind: str, end_id: int) -> bytes:
+def train_dictionary(texts: DataFrame, path: str, kind: str, end_id: int) -> bytes:
     """A shared dictionary; plain content where the sample is too small to train on."""
     import zstandard
 
-    n = docs.count()
-    share = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 20))
-    sample = (
-        docs.where(share < int(min(1.0, SAMPLE_DOCS / max(1, n)) * (1 << 20)) + 1)
-        .select(F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-        .limit(2 * SAMPLE_DOCS)
-        .collect()
-    )
-    ids = encoder(path).encode_many([r.text for r in sample])
-    blobs = [np.append(np.frombuffer(x, "<u4"), end_id).astype(kind).tobytes() for x in ids]
+    ids = encoder(path).encode_many(common.sample_texts(texts, SAMPLE_DOCS, SAMPLE_CHARS))
+    blobs = [np.append(x, end_id).astype(kind).tobytes() for x in ids]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, blobs).as_bytes()
     except zstandard.ZstdError:
@@ -111,7 +103,6 @@ def write_token_files(docs: DataFrame, out: str, vocabulary: str, end_id: int =
             level=3, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         )
         shard, k, before, total, rows, held = TaskContext.get().partitionId(), 0, 0, 0, [], 0
-        end = np.array([end_id], "<u4").tobytes()
 
         def flush():
             data = pack_container(digest, kind, before, rows)
@@ -119,10 +110,10 @@ def write_token_files(docs: DataFrame, out: str, vocabulary: str, end_id: int =
                 [{"shard": shard, "container": k, "first_id": before, "ids": total - before, "data": data}], schema
             )
 
-        for b in common.pieces(batches):
+        for b in common.pieces(batches, common.BATCH_ROWS):
             found = encoder(vocabulary).encode_many(b.column("text").to_pylist())
             for doc_id, ids in zip(b.column("doc_id").to_pylist(), found, strict=True):
-                ids = np.frombuffer(ids + end, "<u4")
+                ids = np.append(ids, np.uint32(end_id))
                 frame = c.compress(ids.astype(kind).tobytes())
                 rows.append((doc_id, frame, len(ids)))
                 total += len(ids)
@@ -135,7 +126,7 @@ def write_token_files(docs: DataFrame, out: str, vocabulary: str, end_id: int =
 
     (
         texts.withColumn("_tie", F.xxhash64("text"))
-        .repartitionByRange(shards or common.shuffle_width(spark), "doc_id", "_tie")
+        .repartitionByRange(shards or common.tasks_for(docs), "doc_id", "_tie")
         .sortWithinPartitions("doc_id", "_tie")
         .select("doc_id", "text")
         .mapInArrow(run, CONTAINER)

@@ -129,14 +129,27 @@ def test_keep_one(docs, empty):
     assert simhash_dedup.keep_one(empty).count() == 0
 
 
+PIECES_OF_TEXT = [
+    " ", " ", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\0", "\u00a0", " \u00a0", "\u0085", "\u3000", "\u2028", "\u1680", "a", "b", "Word", "hello", "DON'T", "it's",
+    "'s", "'", "x'll", ",", ".", "!!", "***", "---", "7", "1234", "é", "É", "ß", "ẞ", "İ", "ñ", "e\u0301", "H\u0331", "\u0301", "Σ", "中文", "😀", "<|endoftext|>",
+    "<|ENDOFTEXT|>", "<|startoftext|>", "<|", "|>", "longwordlongwordlongwordlongword", "à",
+]
+
+
 @pytest.mark.parametrize("path", [BYTES, WORDS])
 def test_encoder_equals_the_library(path):
+    """Every awkward neighbourhood: one text at a time, in batches, and with tables that fill up all the time."""
     ids = _library(path)
-    texts = [t or "" for _, t in _texts()] + ["a b c", "  x", "x  ", " ", "   ", "a <|endoftext|>b", "don't  STOP", "ß ẞ İ ı", "　中文 字", "tab\there", "a.b,c d! e| f"]
-    enc = encoding.ChunkEncoder(path, limit=20)
-    for _ in range(2):
-        for t in texts:
-            assert np.frombuffer(enc.encode(t), "<u4").tolist() == ids(t), t
+    r = np.random.default_rng(5)
+    texts = [t or "" for _, t in _texts()] + ["hi \0there", "a \u00a0 \u00a0 b", "x\n ", "a \n \n b", " ", "   ", "Go <|ENDOFTEXT|> é"]
+    texts += ["".join(r.choice(PIECES_OF_TEXT, r.integers(0, 14))) for _ in range(4000)]
+    want = [ids(t) for t in texts]
+    for limit, size in ((20, 1), (50, 64), (1 << 20, 512)):
+        enc = encoding.ChunkEncoder(path, limit=limit)
+        for at in range(0, len(texts), size):
+            got = enc.encode_many(texts[at : at + size])
+            for t, g, w in zip(texts[at : at + size], got, want[at : at + size], strict=True):
+                assert g.tolist() == w, t
 
 
 def test_token_counts_and_cache(spark, docs, empty, tmp_path):
