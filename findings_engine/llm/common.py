@@ -27,10 +27,12 @@ MAX_TASKS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is named (tests)."""
+    """The folder all executors share; a temporary one only where none is named and all runs on one machine (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = getattr(spark, "_fe_shared_dir", None)
     if own is None:
         own = tempfile.mkdtemp(prefix="fe-shared-")
@@ -48,7 +50,16 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._fe_path = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing will read again: all that stands on them has been written."""
+    for df in tables:
+        p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._fe_path)
+        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -62,14 +73,17 @@ def digest_text(col: str = "text"):
 
 
 def sample_texts(texts: DataFrame, rows: int, chars: int) -> list[str]:
-    """Whole texts of at most ``rows`` rows of (doc_id, text), of those with at most ``chars`` characters.
+    """Whole texts of ``rows`` distinct rows of (doc_id, text), of those with at most ``chars`` characters.
 
-    Those with the least hashes, so a sample depends on the table alone. At most
-    ``rows`` times ``chars`` characters reach the driver.
+    Those with the least hashes, so a sample depends on the table alone. The count
+    of all rows gives a bound on the hashes that leave their tasks, about 2 * rows;
+    at most ``rows`` times ``chars`` characters reach the driver. A table of mostly
+    longer texts gives a smaller sample.
     """
-    h = F.xxhash64("doc_id", "text")
-    found = texts.where(F.length("text") <= chars).orderBy(h, "doc_id").select("text").limit(rows).collect()
-    return [r.text for r in found]
+    short = texts.where(F.length("text") <= chars).select(F.xxhash64("doc_id", "text").alias("h"), "text")
+    bound = min(1 << 32, 2 * rows * (1 << 32) // max(1, texts.count()) + 1)
+    few = short.where(F.pmod("h", F.lit(1 << 32)) < bound).groupBy("h").agg(F.first("text").alias("text"))
+    return [r.text for r in few.orderBy(F.pmod("h", F.lit(1 << 32)), "h").limit(rows).select("text").collect()]
 
 
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:

@@ -56,8 +56,22 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return places
 
 
-class ChunkTable:
-    """Entries of ids; short chunks lead to theirs by an open-addressing table over their keys."""
+def keys_of(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Keys (a row each) of chunks of under KEY bytes; ``text`` has KEY bytes more behind the last."""
+    keys = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, KEY)[starts]).view(_U)
+    keys &= _MASK[sizes]
+    keys[:, -1] |= _LENGTH[sizes]
+    return keys
+
+
+def distinct_keys(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, the place of one of each, and the number of each row's key among them."""
+    found, at, back = np.unique(keys.view(f"V{KEY}").ravel(), return_index=True, return_inverse=True)
+    return found.view(_U).reshape(-1, KEY // 8), at, back
+
+
+class KeyTable:
+    """Short chunks lead to entries by an open-addressing table over their keys."""
 
     def __init__(self, limit: int):
         self.limit = limit
@@ -65,13 +79,8 @@ class ChunkTable:
         self.shift, self.last = _U(64 - bits), (1 << bits) - 1
         self.slots = np.full(1 << bits, -1, np.int32)
         self.keys = np.zeros((1024, KEY // 8), _U)
-        self.start, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.ids = np.zeros(4096, np.uint32)
-        self.entries = self.used = 0
-        self.long: dict[bytes, int] = {}
-
-    def full(self) -> bool:
-        return self.entries > self.limit or self.used > MEMO_IDS
+        self.entries = 0
+        self.long: dict[bytes, int] = {}  # chunks that are no short ones
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         h = keys[:, 0] * _U(0x9E3779B97F4A7C15)
@@ -87,8 +96,7 @@ class ChunkTable:
         """The entry of each key, -1 where there is none."""
         slot = self._slot(keys)
         out = self.slots[slot].astype(np.int64)
-        held = self.keys[out]
-        other = np.flatnonzero((out >= 0) & (held != keys).any(axis=1))
+        other = np.flatnonzero((out >= 0) & (self.keys[out] != keys).any(axis=1))
         while len(other):
             slot[other] = (slot[other] + 1) & self.last
             out[other] = self.slots[slot[other]]
@@ -96,21 +104,12 @@ class ChunkTable:
             other = other[(e >= 0) & (self.keys[e] != keys[other]).any(axis=1)]
         return out
 
-    def add(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """New entries with these ids, one after the other."""
-        n, more = len(sizes), len(ids)
-        while self.entries + n > len(self.start):
+    def more(self, n: int) -> np.ndarray:
+        """n new entries."""
+        while self.entries + n > len(self.keys):
             self.keys = np.concatenate([self.keys, np.zeros_like(self.keys)])
-            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-        while self.used + more > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        entry = np.arange(self.entries, self.entries + n)
-        self.ids[self.used : self.used + more] = ids
-        self.size[entry] = sizes
-        self.start[entry] = self.used + np.cumsum(sizes) - sizes
         self.entries += n
-        self.used += more
-        return entry
+        return np.arange(self.entries - n, self.entries)
 
     def enter(self, keys: np.ndarray, entries: np.ndarray) -> None:
         """Lead distinct new keys to their entries."""
@@ -126,6 +125,32 @@ class ChunkTable:
             slot, entries = (slot[rest] + 1) & self.last, entries[rest]
 
 
+class ChunkTable(KeyTable):
+    """Entries have ids."""
+
+    def __init__(self, limit: int):
+        super().__init__(limit)
+        self.start, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.ids = np.zeros(4096, np.uint32)
+        self.used = 0
+
+    def full(self) -> bool:
+        return self.entries > self.limit or self.used > MEMO_IDS
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """New entries with these ids, one after the other."""
+        entry, more = self.more(len(sizes)), len(ids)
+        while len(self.start) < len(self.keys):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        while self.used + more > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + more] = ids
+        self.size[entry] = sizes
+        self.start[entry] = self.used + np.cumsum(sizes) - sizes
+        self.used += more
+        return entry
+
+
 class ChunkEncoder:
     """Ids of whole texts as arrays of unsigned 32-bit numbers."""
 
@@ -252,16 +277,12 @@ class ChunkEncoder:
         table, old = self.new, self.old
         entry = np.empty(len(starts), np.int64)
         short = np.flatnonzero(sizes < KEY)
-        n = sizes[short]
-        keys = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, KEY)[starts[short]]).view(_U)
-        keys &= _MASK[n]
-        keys[:, -1] |= _LENGTH[n]
+        keys = keys_of(text, starts[short], sizes[short])
         found = table.find(keys)
         lost = np.flatnonzero(found < 0)
         whole = text.tobytes() if len(lost) or len(short) < len(starts) else b""
         if len(lost):
-            wanted, at, back = np.unique(keys[lost].view(f"V{KEY}").ravel(), return_index=True, return_inverse=True)
-            wanted = wanted.view(_U).reshape(-1, KEY // 8)
+            wanted, at, back = distinct_keys(keys[lost])
             fresh = np.empty(len(wanted), np.int64)
             known = old.find(wanted) if old else np.full(len(wanted), -1)
             again = known >= 0

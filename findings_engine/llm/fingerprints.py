@@ -105,7 +105,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.digest_text().alias("text"))
     rows = common.materialize(
         texts.withColumn("tie", F.xxhash64("text"))
-        .repartitionByRange(common.shuffle_width(spark), "doc_id", "tie")
+        .repartitionByRange(common.tasks_for(docs), "doc_id", "tie")
         .sortWithinPartitions("doc_id", "tie")
         .select("doc_id", "text")
         .mapInArrow(run, ROW),

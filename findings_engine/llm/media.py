@@ -6,8 +6,8 @@ lengths from LEAST to MOST bytes, so an edit moves only the cuts near it. A
 chunk's digest is SHA-256.
 
 The store: one row per distinct chunk, with its bytes compressed under a shared
-zstandard dictionary (trained on the starts of a bounded sample of payloads),
-bucketed by digest, so that it is written and joined without another shuffle. A recipe is
+zstandard dictionary (trained on a bounded sample of payloads), bucketed by
+digest, so that it is written and joined without another shuffle. A recipe is
 an ordered list of digests and lengths; equal payloads share one. Chunks are
 deduplicated in each task, then by digest over all of them. Reconstruction
 joins the distinct payloads' recipes to the store, puts the chunks in order and
@@ -17,7 +17,8 @@ The stored form of a payload is its recipe followed by its stored chunks, in
 order; media_bytes and media_sha256 are of that.
 
 Defined results: a null text is an empty one (UNIT zero bytes); rows keep their
-ids, repeats and nulls included; a payload that cannot be verified raises.
+ids, repeats and nulls included, and equal texts share a recipe; a text is whole
+however long; other columns, whatever their names, don't take part; a payload that cannot be verified raises.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from . import common
 
 UNIT, LEAST, MOST, MASK, LEVEL = 64, 1024, 32 << 10, np.uint32((1 << 12) - 1), 9
 SEEN_DIGESTS = 400_000
-SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1000, 4096, 112 << 10
+SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1000, 8192, 112 << 10
 RECIPE = "doc_id bigint, n_bytes bigint, payload binary, chunks array<struct<digest:binary,size:int>>"
 FOUND = (
     "payload binary, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint,"
@@ -114,15 +115,13 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.digest_text().alias("text"))
 
 
-def train_dictionary(docs: DataFrame) -> bytes:
-    """From at most 2 * SAMPLE_DOCS texts' first SAMPLE_CHARS characters; empty where those are too few."""
+def train_dictionary(texts: DataFrame) -> bytes:
+    """From at most SAMPLE_DOCS whole texts of at most SAMPLE_CHARS characters; empty where those are too few."""
     import zstandard
 
-    share = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 20))
-    most = int(min(1.0, SAMPLE_DOCS / max(1, docs.count())) * (1 << 20)) + 1
-    rows = docs.where(share < most).select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(2 * SAMPLE_DOCS).collect()
+    sample = common.sample_texts(texts, SAMPLE_DOCS, SAMPLE_CHARS)
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, sorted(payload_of(r.text) for r in rows)).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, sorted(map(payload_of, sample))).as_bytes()
     except zstandard.ZstdError:
         return b""
 
@@ -199,10 +198,11 @@ def reconstruct(spark: SparkSession, recipe: DataFrame, store: str, dictionary:
 def store_and_read(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     recipe = common.materialize(recipes(docs), "recipes")
-    buckets = common.shuffle_width(spark)
+    buckets = common.tasks_for(docs)
     dictionary = train_dictionary(texts_of(docs))
     store = store_chunks(docs, buckets, dictionary)
     found = common.materialize(reconstruct(spark, recipe, store, dictionary), "media")
+    spark.sql(f"DROP TABLE {store}")  # the catalog's entry; the store's files stay
     return (
         recipe.select("doc_id", "n_bytes", "payload", F.size("chunks").alias("n_chunks"))
         .join(found, "payload")

@@ -6,14 +6,16 @@
 2. Expectation-maximisation on the pattern counts estimates each labeller's
    accuracies and the share of good documents (Dawid and Skene, votes
    independent given the latent kind of document).
-3. Posterior labels of a sample of at most SAMPLE documents, taken by hash
-   order, train a hashed linear scorer on word shapes, pairs of them and bucketed
+3. Posterior labels of a sample of at most SAMPLE documents of at most MAX_CHARS
+   characters, taken by hash order, train a hashed linear scorer on word shapes, pairs of them and bucketed
    ratios; the posterior is the target, so doubtful documents pull less.
 4. The scorer rates every document. No gold label is read anywhere.
 
 Defined results: a null text is an empty one; on texts with fewer
 than MIN_WORDS words all labellers abstain, so the prior decides; rows keep
-their ids; without documents there is nothing to train and the scorer is 0.5.
+their ids, null and repeated ones too, and equal texts get equal scores, however
+long; other columns, whatever their names, don't take part; without documents
+there is nothing to train and the scorer is 0.5.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SAMPLE, BITS, MIN_WORDS, ROUNDS = 6_000, 12, 6, 60
+SAMPLE, MAX_CHARS, BITS, MIN_WORDS, ROUNDS = 8_000, 16_384, 12, 6, 60
 _SYMBOLS = re.compile(rb"[#$%&*~^<>{}\\]")
 _RUN = re.compile(rb"a+")
 _CAPS = re.compile(rb"A{2,}")
@@ -195,7 +197,7 @@ def fit_scorer(texts: list[str], target: np.ndarray, rounds: int = 200, ridge: f
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         g = np.bincount(place, value * (p - target)[at], len(w)) / len(rows) + ridge * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
+        w -= 0.1 * (1 - (k - 1) / rounds) * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
     return Scorer(w)
 
 
@@ -206,13 +208,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[Scorer, LabelModel | N
     patterns = np.array([[int(x) for x in r.pattern.split(",")] for r in found])
     n = np.array([r.n for r in found], float)
     model = LabelModel(patterns, n)
-    share = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 20))
-    most = int(min(1.0, sample / n.sum()) * (1 << 20)) + 1
-    texts = [
-        r.text
-        for r in docs.where(share < most).select("doc_id", common.digest_text().alias("text")).limit(2 * sample).collect()
-    ]
-    texts.sort()
+    texts = sorted(common.sample_texts(docs.select("doc_id", common.digest_text().alias("text")), sample, MAX_CHARS))
     target = model.posterior(np.array([votes(measures(t)) for t in texts]).reshape(-1, N_VOTES))
     return fit_scorer(texts, target), model
 

@@ -2,8 +2,8 @@
 
 The lattice of a text is the chain of its chunks' lattices (a chunk: a run of
 space marks and what follows it; no piece has a mark behind another character,
-so none crosses a cut). Each distinct chunk of a batch has its lattice built
-once: all pieces of the vocabulary at all places, byte pieces where no piece
+so none crosses a cut). A Python worker builds a chunk's lattice once and keeps
+it, within LATTICE_NODES nodes: all pieces of the vocabulary at all places, byte pieces where no piece
 fits, and the backward sums that make every arc's conditional probability.
 
 Perturbed A-star: a node is a set of segmentations (a prefix and the arcs still
@@ -23,13 +23,15 @@ BPE model has no unigram scores of its own, and a byte piece has BYTE_LOG.
 
 Defined results: a null text is empty and has one segmentation, of no pieces;
 texts with fewer than k segmentations give all they have, with inclusion 1;
-rows with equal ids get equal draws; a null id is a key of its own.
+rows with equal ids get equal draws; a null id is a key of its own; other columns
+are ignored, whatever their names. decodes says whether a sample gives the text
+back; it is false for a text that holds the space mark U+2581 itself, which the
+model reads as a space.
 """
 
 from __future__ import annotations
 
 import heapq
-import itertools
 import re
 import zlib
 
@@ -39,11 +41,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .encoding import vocabulary_path
+from .encoding import KEY, KeyTable, distinct_keys, keys_of, vocabulary_path
 
 SAMPLES, SEED, RANK_SHIFT, BYTE_LOG = 2, 20, 30.0, -14.0
 MARK = "▁"
-SLICE_CHARS = 1_200_000
+SLICE_CHARS, LATTICE_NODES = 1_200_000, 3 << 20
 ROW = (
     "doc_id bigint, sample int, n_pieces bigint, ids_crc32 bigint, log_prob double, perturbed double,"
     " inclusion double, decodes boolean"
@@ -69,6 +71,13 @@ def normal_form(text: str) -> str:
     return MARK + text.replace(" ", MARK) if text else ""
 
 
+def joined_chunks(text: str) -> bytes:
+    """chunks_of with a space between two; no bytes for no chunks."""
+    if "  " in text or MARK in text or text[:1] == " ":
+        text = " ".join(chunks_of(text))
+    return text.encode("utf-8", "surrogatepass")
+
+
 def chunks_of(text: str) -> list[str]:
     """The normal form's chunks without their first mark; where no spaces meet, the words."""
     if not text:
@@ -136,16 +145,58 @@ class Vocabulary:
 
 
 class Lattices:
-    """Arcs of all distinct chunks: nodes are numbered through, arcs are sorted by the node they leave."""
+    """Arcs of all chunks seen; nodes are numbered through, and a node's arcs stand together, likeliest first."""
+
+    def __init__(self, v: Vocabulary):
+        self.v = v
+        self.start, self.end = np.empty(0, np.int64), np.empty(0, np.int64)  # nodes of a chunk
+        self.table = KeyTable(LATTICE_NODES)
+        self.nodes = self.arcs = 0
+        self.first = np.zeros(1 << 16, np.int32)
+        self.frm, self.to, self.id = (np.zeros(1 << 16, np.int32) for _ in range(3))
+        self.lp, self.cum = np.zeros(1 << 16), np.zeros(1 << 16)
+
+    def numbered(self, raws: list[bytes]) -> np.ndarray:
+        """The chunks of all these texts (chunks_of, joined by spaces) by number; new ones get their lattices."""
+        raws = [r for r in raws if r]
+        joined = b" ".join([*raws, bytes(KEY)])
+        text = np.frombuffer(joined, np.uint8)
+        stops = np.flatnonzero(text == 32)
+        starts = np.append(0, stops[:-1] + 1)
+        sizes = stops - starts
+        out = np.empty(len(starts), np.int64)
+        short = np.flatnonzero(sizes < KEY)
+        keys = keys_of(text, starts[short], sizes[short])
+        found = self.table.find(keys)
+        lost = np.flatnonzero(found < 0)
+        new: list[bytes] = []
+        if len(lost):
+            wanted, at, back = distinct_keys(keys[lost])
+            at = short[lost[at]]
+            new = [joined[a:b] for a, b in zip(starts[at].tolist(), stops[at].tolist(), strict=True)]
+            fresh = self.table.more(len(new))
+            self.table.enter(wanted, fresh)
+            found[lost] = fresh[back]
+        out[short] = found
+        for i in np.flatnonzero(sizes >= KEY).tolist():
+            c = joined[starts[i] : stops[i]]
+            if c not in self.table.long:
+                self.table.long[c] = int(self.table.more(1)[0])
+                new.append(c)
+            out[i] = self.table.long[c]
+        if new:
+            self.build([MARK + c.decode("utf-8", "surrogatepass") for c in new])
+        return out
 
-    def __init__(self, chunks: list[str], v: Vocabulary):
+    def build(self, chunks: list[str]) -> None:
+        v = self.v
         n = np.array([len(c) for c in chunks], np.int64)
         cp = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
         chunk = np.repeat(np.arange(len(chunks)), n)
         start = np.cumsum(n + 1) - (n + 1)
         node = np.arange(len(cp)) + chunk  # each chunk has one node more than characters
-        self.start, self.end = start, start + n
-        left = self.end[chunk] - node  # characters from here to the chunk's end
+        end = start + n
+        left = end[chunk] - node  # characters from here to the chunk's end
         at, h = np.arange(len(cp)), np.zeros(len(cp), np.uint64)
         froms, tos, ids = [], [], []
         for k in range(1, v.longest + 1):
@@ -165,54 +216,73 @@ class Lattices:
                 froms.append(node[miss])
                 tos.append(node[miss] + 1)
                 ids.append(np.where(c < 128, v.byte_id[np.minimum(c, 127)], -c))
-        self.frm, self.to, self.id = map(np.concatenate, (froms, tos, ids))
-        order = np.argsort(self.frm.astype(np.int32), kind="stable")
-        self.frm, self.to, self.id = self.frm[order], self.to[order], self.id[order]
-        log = np.where(self.id >= 0, v.log[np.maximum(self.id, 0)], 0.0)
-        many = np.flatnonzero(self.id < 0)
-        log[many] = BYTE_LOG * (2 + (self.id[many] <= -0x800).astype(int) + (self.id[many] <= -0x10000))
-        total = int(self.end[-1]) + 1
-        self.first = np.searchsorted(self.frm, np.arange(total + 1))
+        frm, to, id_ = map(np.concatenate, (froms, tos, ids))
+        order = np.argsort(frm.astype(np.int32), kind="stable")
+        frm, to, id_ = frm[order], to[order], id_[order]
+        log = np.where(id_ >= 0, v.log[np.maximum(id_, 0)], 0.0)
+        many = np.flatnonzero(id_ < 0)
+        log[many] = BYTE_LOG * (2 + (id_[many] <= -0x800).astype(int) + (id_[many] <= -0x10000))
+        total = int(end[-1]) + 1
         beta = np.zeros(total)
         far = np.zeros(total, np.int32)
         far[node] = left
-        by = np.argsort(far[self.frm], kind="stable")
-        edges = np.searchsorted(far[self.frm][by], np.arange(1, int(n.max()) + 2))
+        by = np.argsort(far[frm], kind="stable")
+        edges = np.searchsorted(far[frm][by], np.arange(1, int(n.max()) + 2))
         for a, b in zip(edges[:-1], edges[1:], strict=True):  # from the chunks' ends, all chunks at once
             e = by[a:b]
             if not len(e):
                 continue
-            x = log[e] + beta[self.to[e]]
-            heads = np.flatnonzero(np.diff(self.frm[e], prepend=-1))
+            x = log[e] + beta[to[e]]
+            heads = np.flatnonzero(np.diff(frm[e], prepend=-1))
             top = np.maximum.reduceat(x, heads)
             spread = np.exp(x - np.repeat(top, np.diff(np.append(heads, len(e)))))
-            beta[self.frm[e[heads]]] = top + np.log(np.add.reduceat(spread, heads))
-        self.lp = np.minimum(log + beta[self.to] - beta[self.frm], 0.0)
-        self.p = np.exp(self.lp)
-        heads = np.flatnonzero(np.diff(self.frm, prepend=-1))
-        width = np.diff(np.append(heads, len(self.frm)))
-        sums = np.cumsum(self.p)
-        before = np.repeat(sums[heads] - self.p[heads], width)
-        cum = sums - before
+            beta[frm[e[heads]]] = top + np.log(np.add.reduceat(spread, heads))
+        lp = np.minimum(log + beta[to] - beta[frm], 0.0)
+        heads = np.flatnonzero(np.diff(frm, prepend=-1))
+        width = np.diff(np.append(heads, len(frm)))
+        lp[np.repeat(width == 1, width)] = 0.0
+        # Likeliest first: a walk then looks at few arcs. Equal ones stay in their pieces' order.
+        p = np.exp(lp)
+        order = np.argsort(frm - p * 0.5, kind="stable")
+        to, id_, lp, p = to[order], id_[order], lp[order], p[order]
+        sums = np.cumsum(p)
+        cum = sums - np.repeat(sums[heads] - p[heads], width)
         cum[heads + width - 1] = 1.0
-        self.cum = self.frm + np.minimum(cum, 1.0)
-        self.lp[np.repeat(width == 1, width)] = 0.0
-        self.p[np.repeat(width == 1, width)] = 1.0
+        self._append(start, end, frm, to, id_, lp, np.minimum(cum, 1.0), total)
+
+    def _append(self, start, end, frm, to, id_, lp, cum, total: int) -> None:
+        while self.nodes + total + 1 > len(self.first):
+            self.first = np.concatenate([self.first, np.zeros_like(self.first)])
+        while self.arcs + len(frm) > len(self.frm):
+            for name in ("frm", "to", "id", "lp", "cum"):
+                x = getattr(self, name)
+                setattr(self, name, np.concatenate([x, np.zeros_like(x)]))
+        arcs = slice(self.arcs, self.arcs + len(frm))
+        self.frm[arcs], self.to[arcs], self.id[arcs], self.lp[arcs], self.cum[arcs] = frm + self.nodes, to + self.nodes, id_, lp, cum
+        self.first[self.nodes : self.nodes + total + 1] = self.arcs + np.searchsorted(frm, np.arange(total + 1))
+        self.start, self.end = np.append(self.start, start + self.nodes), np.append(self.end, end + self.nodes)
+        self.nodes += total
+        self.arcs += len(frm)
 
     def walk(self, chunk: np.ndarray, node: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A sampled way from each node to its chunk's end: all arcs in order, and how many each has."""
         end = self.end[chunk]
         counts = np.zeros(len(chunk), np.int64)
         live, steps = np.flatnonzero(node < end), []
-        node = node.copy()
+        node, end, key = node[live], end[live], key[live]
         t = 0
         while len(live):
-            u = uniform(key[live] + _U(t * 0xD1B54A32D192ED03 % (1 << 64)))
-            e = np.searchsorted(self.cum, node[live] + u, side="right")
+            u = uniform(key + _U(t * 0xD1B54A32D192ED03 % (1 << 64)))
+            e = self.first[node]
+            over = np.flatnonzero(u >= self.cum[e])
+            while len(over):
+                e[over] += 1
+                over = over[u[over] >= self.cum[e[over]]]
             steps.append((live, e))
             counts[live] += 1
-            node[live] = self.to[e]
-            live = live[self.to[e] < end[live]]
+            node = self.to[e]
+            on = np.flatnonzero(node < end)
+            live, node, end, key = live[on], node[on], end[on], key[on]
             t += 1
         at = np.cumsum(counts) - counts
         path = np.empty(int(counts.sum()), np.int64)
@@ -227,16 +297,14 @@ def truncated(phi: np.ndarray, bound: float, u: np.ndarray) -> np.ndarray:
         return phi - np.log(np.exp(np.minimum(phi - bound, 700.0)) - np.log(u))
 
 
-def sample_batch(keys: np.ndarray, texts: list[str], v: Vocabulary, k: int):
+def sample_batch(keys: np.ndarray, texts: list[str], lat: Lattices, k: int):
     """For each text, a list of (ids, log probability, perturbed), best first, and kappa."""
-    known: dict[str, int] = {}
-    words = [[known.setdefault(c, len(known)) for c in chunks_of(t)] for t in texts]
-    size = np.array([len(w) for w in words])
-    if not known:
+    raws = [joined_chunks(t) for t in texts]
+    size = np.array([r.count(b" ") + 1 if r else 0 for r in raws])
+    if not size.any():
         return [([((), 0.0, 0.0)], -np.inf) for _ in texts]
-    lat = Lattices([MARK + c for c in known], v)
+    flat = lat.numbered(raws)
     first = np.cumsum(size) - size
-    flat = np.fromiter(itertools.chain.from_iterable(words), np.int64, int(size.sum()))
     doc = np.repeat(np.arange(len(texts)), size)
     place = np.arange(len(flat)) - first[doc]
     salt = lambda d, j: mix(keys[d] + _U(j * 0xA0761D6478BD642F % (1 << 64)))
@@ -247,7 +315,7 @@ def sample_batch(keys: np.ndarray, texts: list[str], v: Vocabulary, k: int):
     def leave(d: int, j: int, path: np.ndarray, lp: np.ndarray, since: int, bound: float) -> None:
         """Open nodes at the steps of a path from ``since`` on."""
         before = np.cumsum(lp) - lp
-        rest = 1.0 - lat.p[path[since:]]
+        rest = -np.expm1(lp[since:])
         open_ = np.flatnonzero(rest > 1e-12)
         if not len(open_):
             return
@@ -275,10 +343,11 @@ def sample_batch(keys: np.ndarray, texts: list[str], v: Vocabulary, k: int):
             path, word = results[d][source][:2]
             node = int(lat.frm[path[at]])
             arcs = [e for e in range(int(lat.first[node]), int(lat.first[node + 1])) if e not in used]
-            share = np.cumsum(lat.p[arcs])
+            chance = np.exp(lat.lp[arcs])
+            share = np.cumsum(chance)
             u = float(uniform(salt(np.array([d]), 2000 + j))[0])
-            arc = arcs[min(int(np.searchsorted(share, u * share[-1], side="right")), len(arcs) - 1)]
-            left = float(share[-1] - lat.p[arc])
+            pick = min(int(np.searchsorted(share, u * share[-1], side="right")), len(arcs) - 1)
+            arc, left = arcs[pick], float(share[-1] - chance[pick])
             if len(arcs) > 1 and left > 1e-12:  # what is still open at this node
                 u = uniform(salt(np.array([d]), 3000 + j))
                 again = float(truncated(np.array([before + np.log(left)]), -t, u)[0])
@@ -333,13 +402,16 @@ def decode(ids, v: Vocabulary) -> str:
     return text[1:] if text[:1] == " " else text
 
 
-_VOCABULARIES: dict[str, Vocabulary] = {}
+_LATTICES: dict[str, Lattices] = {}
 
 
-def vocabulary(path: str) -> Vocabulary:
-    if path not in _VOCABULARIES:
-        _VOCABULARIES[path] = Vocabulary(path)
-    return _VOCABULARIES[path]
+def lattices(path: str) -> Lattices:
+    """One per Python worker and model, begun anew where it has grown past LATTICE_NODES."""
+    if path not in _LATTICES:
+        _LATTICES[path] = Lattices(Vocabulary(path))
+    elif _LATTICES[path].nodes > LATTICE_NODES:
+        _LATTICES[path] = Lattices(_LATTICES[path].v)
+    return _LATTICES[path]
 
 
 def row_keys(doc_ids: list, seed: int) -> np.ndarray:
@@ -355,14 +427,13 @@ def sample_segmentations(docs: DataFrame, model: str, samples: int = SAMPLES, se
     schema = common.arrow_schema(ROW)
 
     def rows(doc_ids: list, texts: list[str]):
-        v = vocabulary(model)
-        out = []
-        for doc_id, text, (found, kappa) in zip(doc_ids, texts, sample_batch(row_keys(doc_ids, seed), texts, v, samples), strict=True):
-            plain = text.replace(MARK, " ")
+        lat = lattices(model)
+        v, out = lat.v, []
+        for doc_id, text, (found, kappa) in zip(doc_ids, texts, sample_batch(row_keys(doc_ids, seed), texts, lat, samples), strict=True):
             for j, (ids, lp, g) in enumerate(found):
                 ids = spelled(ids, v)
                 inclusion = float(-np.expm1(-np.exp(min(lp - kappa, 700.0)))) if np.isfinite(kappa) else 1.0
-                same = decode(ids.tolist(), v) == plain
+                same = decode(ids.tolist(), v) == text
                 out.append((doc_id, j, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), lp, g, inclusion, same))
         return pa.RecordBatch.from_arrays(
             [pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema

@@ -3,10 +3,12 @@
 1. Fingerprints. Words of the lower-cased (A-Z) text, shingles of SHINGLE words
    with repeats, XXH64 of each; a bit is set if it is set in over half of them.
    Equal fingerprints fold into one node before anything else moves.
-2. Blocks. Distinct fingerprints are cut by Gray rank into at most MAX_BLOCKS
-   blocks of about equal depth. A block's root is the mask of bits that all its
-   members share, and their pattern: at most MAX_BLOCKS rows, the only thing
-   the driver and the tasks hold of all blocks.
+2. Blocks. Distinct fingerprints are cut by Gray rank, at the quantiles of a
+   sample, into blocks of about BLOCK; beyond MAX_BLOCKS (a thousand million
+   fingerprints) blocks deepen instead, to about 100,000 for a corpus of 100 TB.
+   A block's root is the mask of bits that all its members share, and their
+   pattern: at most MAX_BLOCKS rows of three numbers and PER_BLOCK sampled ranks
+   a block, the only things the driver and the tasks hold of all blocks.
 3. Routing. The roots, themselves in Gray order, form the upper levels of the
    index. A fingerprint goes to its own block and to later blocks whose root it
    differs from in at most RADIUS shared bits: the rest are pruned as wholes.
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 from . import common
 
 SHINGLE, RADIUS = 3, 2
-BLOCK, MAX_BLOCKS, FAN = 4096, 4096, 8
+BLOCK, MAX_BLOCKS, PER_BLOCK, FAN = 4096, 1 << 18, 16, 8
 FRONTIER = 1 << 18
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -171,10 +173,11 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         distinct = distinct.withColumn("rank", rank)
         rank = F.col("rank")
     distinct = distinct.withColumn("rank", rank.bitwiseXOR(F.lit(-(1 << 63)).cast("long")))
-    cuts = distinct.agg(
-        F.percentile_approx("rank", [i / blocks for i in range(1, blocks)], max(10_000, 20 * blocks)).alias("c")
-    ).first()
-    cuts = np.unique(np.array(cuts.c or [], np.int64))
+    # Ranks of a sample by hash, PER_BLOCK for each block: enough for cuts of about equal depth.
+    share = min(1 << 32, -(-PER_BLOCK * blocks * (1 << 32) // max(1, n)))
+    sample = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 32)) < share).select("rank").toArrow()
+    ranks = np.sort(sample.column("rank").to_numpy())
+    cuts = np.unique(ranks[np.arange(1, blocks) * len(ranks) // blocks]) if len(ranks) else ranks
 
     def place(b):
         return {
@@ -185,14 +188,15 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     placed = common.materialize(
         common.map_batches(distinct.select("fp", "rank"), "fp bigint, block int", place, 1024), "blocks"
     )
-    roots = placed.groupBy("block").agg(F.bit_and("fp").alias("all"), F.bit_or("fp").alias("any")).collect()
-    roots = sorted((r["block"], r["all"], r["any"]) for r in roots)
-    number = np.array([r[0] for r in roots], np.int64)
-    every = np.array([r[1] for r in roots], np.int64).view(np.uint64)
-    mask = ~(every ^ np.array([r[2] for r in roots], np.int64).view(np.uint64))
+    roots = placed.groupBy("block").agg(F.bit_and("fp").alias("all"), F.bit_or("fp").alias("any")).toArrow()
+    number, every, some = (roots.column(c).to_numpy() for c in ("block", "all", "any"))
+    order = np.argsort(number)
+    number, every = number[order], every[order].view(np.uint64)
+    shared = spark.sparkContext.broadcast((number, every, ~(every ^ some[order].view(np.uint64))))
     routed_schema = common.arrow_schema("block int, fp bigint, member boolean")
 
     def route(batches):
+        number, every, mask = shared.value
         upper = GrayIndex(every & mask, mask) if len(every) else None
         for b in batches:
             fp = b.column("fp").to_numpy(zero_copy_only=False)
@@ -246,7 +250,8 @@ def components(edges: DataFrame) -> DataFrame:
             .toDF("a", "b")
             .distinct()
         )
-        e = common.materialize(small, "small-star")
+        old, e = e, common.materialize(small, "small-star")
+        common.discard(old, large)
 
 
 def classes(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -262,7 +267,9 @@ def classes(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         "rooted",
     )
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return common.materialize(named.join(least, "root").select("fp", "root", "component_id", "docs"), "classes")
+    found = common.materialize(named.join(least, "root").select("fp", "root", "component_id", "docs"), "classes")
+    common.discard(distinct, named)
+    return found
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:

@@ -7,7 +7,8 @@ are appended to it. A later run over the same or overlapping texts encodes
 only what is new; another vocabulary has other keys.
 
 Defined results: a null text counts as the empty text (0 tokens); repeated
-rows and null ids are kept row by row; an empty table gives an empty result;
+rows and null ids are kept row by row, equal texts with equal counts; two counts
+stored for a key by runs at once are the same; an empty table gives an empty result;
 other columns of the input are ignored, whatever their names.
 """
 

@@ -16,7 +16,9 @@ a Parquet table: Spark's commit protocol keeps the files of a retried task from
 doubling, on any store Spark can write.
 
 Defined results: a null text is the empty text, which still has the end id;
-null ids come first; repeated rows are kept, ordered by id, then text digest.
+null ids come first; repeated rows are kept, ordered by id, then text digest; a
+text is one document however long; an empty table gives no containers; other
+columns, whatever their names, don't take part.
 """
 
 from __future__ import annotations

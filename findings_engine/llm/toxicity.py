@@ -5,20 +5,26 @@ documents than in others. A trie holds it; the Levenshtein automata of all its
 terms run over the trie at once, their joint states made on demand and kept, so
 a text's word costs one table look-up a letter until the state is dead. A hit
 counts less inside quotation marks or near words of report, and more near a
-second person. A logistic model over the hits' sums scores the document.
+second person. Quotation marks count in pairs within a line: an apostrophe between
+letters is none, and a mark without its partner quotes nothing. A logistic model
+over the hits' sums scores the document.
 
 Only training rows are read: labels whose crc32(doc_id) mod 5 is not 0, in a
-sample of at most MAX_ROWS by hash order. Scores read the text and nothing else.
+sample of at most MAX_ROWS by hash order, of texts of at most MAX_CHARS characters
+(one text an id). Scores read the whole text and nothing else.
 
 Defined results: null and empty texts have no hits and get the model's base
-score; rows keep their ids, null ids are never held out; without training rows
-of both kinds every score is 0.
+score; rows keep their ids, null ids are never held out; repeated rows get equal
+scores; a document labelled twice is toxic if one label says so; terms that lift
+equally come in alphabetical order; other columns, whatever their names, don't
+take part; without training rows of both kinds every score is 0.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 
 import numpy as np
@@ -27,10 +33,12 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MAX_ROWS, MAX_TERMS, MIN_DOCS, MIN_LIFT = 12_000, 600, 4, 8.0
+MAX_ROWS, MAX_CHARS, MAX_TERMS, MIN_DOCS, MIN_LIFT = 12_000, 16_384, 600, 4, 8.0
 WINDOW, MEMO = 6, 300_000
 _WORD = re.compile(r"\w+")
-_QUOTES = re.compile("[\"«»“”„‘’]")
+_QUOTES = re.compile("\n|[\"«»“”„‘]|(?<!\\w)’|’(?!\\w)")
+#: A closing mark, and what it closes: the last of these open in the line. One that closes nothing opens.
+_CLOSES = {'"': '"', "»": "«", "«": "»", "”": "“„", "“": "„", "’": "‘"}
 REPORT = frozenset(
     "said says called quote quoted quotes wrote word term means dit disait mot appelé sagte nannte wort zitat dijo palabra llamó".split()
 )
@@ -118,6 +126,31 @@ def edits_for(term: str) -> int:
     return 0 if len(term) < 5 else 1
 
 
+def quotations(text: str) -> tuple[list[int], list[int]]:
+    """Starts and ends of the outermost quoted spans, in order."""
+    starts: list[int] = []
+    ends: list[int] = []
+    open_: list[tuple[str, int]] = []
+    for m in _QUOTES.finditer(text):
+        mark, at = m.group(), m.start()
+        if mark == "\n":
+            open_.clear()
+            continue
+        closes = _CLOSES.get(mark, "")
+        k = next((k for k in range(len(open_) - 1, -1, -1) if open_[k][0] in closes), None) if closes else None
+        if k is None:
+            open_.append((mark, at))
+            continue
+        begin = open_[k][1]
+        del open_[k:]
+        while starts and starts[-1] > begin:  # spans within this one
+            starts.pop()
+            ends.pop()
+        starts.append(begin)
+        ends.append(at)
+    return starts, ends
+
+
 class Matcher:
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon = lexicon
@@ -143,14 +176,15 @@ class Matcher:
         hits = [(i, got) for i, got in enumerate(map(find, words)) if got is not None]
         if not hits:
             return [0.0] * 7
-        spans = [m.span() for m in _WORD.finditer(low)] if len(hits) else []
-        marks = [m.start() for m in _QUOTES.finditer(low)]
+        spans = [m.start() for m in _WORD.finditer(low)]
+        starts, ends = quotations(low)
         exact, near, quoted, direct, best = 0.0, 0.0, 0.0, 0.0, 0.0
         terms: dict[str, float] = {}
         for i, (term, e) in hits:
             value = self.lexicon[term]
             around = words[max(0, i - WINDOW) : i + WINDOW + 1]
-            inside = sum(m < spans[i][0] for m in marks) % 2 == 1 if marks else False
+            k = bisect_right(starts, spans[i]) - 1
+            inside = k >= 0 and spans[i] < ends[k]
             reported = any(w in REPORT for w in around)
             if inside or reported:
                 quoted += value
@@ -233,8 +267,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
         .limit(max_rows)
     )
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.digest_text().alias("text"))
-    # At most max_rows rows of two numbers.
-    got = chosen.join(F.broadcast(rows), "doc_id").orderBy("doc_id", "text").limit(max_rows).collect()
+    # At most max_rows rows of two numbers; then at most as many texts, of a bounded length.
+    chosen = chosen.where(F.length("text") <= MAX_CHARS).join(F.broadcast(rows), "doc_id")
+    got = chosen.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
+    got.sort(key=lambda r: r.doc_id)
     texts, y = [r.text for r in got], np.array([r.toxic for r in got], np.int64)
     if len(np.unique(y)) < 2:
         return Model({}, None)

@@ -288,6 +288,84 @@ def test_quotation_weighs_less():
     assert abuse[0] > quoted[0] and quoted[2] > 0 and m.features("you idjot here")[1] > 0
 
 
+def _plain_quoted(text):
+    """Places inside a pair of straight, angle or curly marks of one line, by trying all pairs of a kind from the left."""
+    inside, base = set(), 0
+    for line in text.split("\n"):
+        for a, b in (('"', '"'), ("«", "»"), ("“", "”")):
+            at = 0
+            while (x := line.find(a, at)) >= 0 and (y := line.find(b, x + 1)) >= 0:
+                inside.update(range(base + x, base + y))
+                at = y + 1
+        base += len(line) + 1
+    return inside
+
+
+def test_features_by_brute_force():
+    import math
+    import random
+    import re
+
+    lexicon = {"idiot": 2.0, "moron": 1.5, "dolt": 1.0}
+    m = toxicity.Matcher(lexicon)
+    r = random.Random(8)
+    words = ["idiot", "idjot", "moron", "morons", "dolt", "dollt", "you", "said", "don’t", "it's", "house", "tree", "we", "saw", "old"]
+    for _ in range(400):
+        text = ""
+        for _ in range(r.randint(0, 30)):
+            w = r.choice(words)
+            if r.random() < 0.1:
+                a, b = r.choice([('"', '"'), ("«", "»"), ("“", "”")])
+                w = f"{a}{w} {r.choice(words)}{b}"
+            text += w + r.choice([" ", " ", " ", " ’ ", "\n"])
+        low = text.lower()
+        spans = [(x.start(), x.group()) for x in re.finditer(r"\w+", low)]
+        quoted_at = _plain_quoted(low)
+        exact = near = quoted = direct = best = 0.0
+        terms = set()
+        for i, (at, w) in enumerate(spans):
+            found = sorted((_edit_distance(w, t), t) for t in lexicon if _edit_distance(w, t) <= toxicity.edits_for(t))
+            if not found:
+                continue
+            e, t = found[0]
+            around = {x for _, x in spans[max(0, i - toxicity.WINDOW) : i + toxicity.WINDOW + 1]}
+            value, inside, told = lexicon[t], at in quoted_at, bool(around & toxicity.REPORT)
+            quoted += value * (inside or told)
+            value *= (1, 0.5, 0.25)[inside + told]
+            direct += value * bool(around & toxicity.SECOND)
+            near, exact = (near + value, exact) if e else (near, exact + value)
+            terms |= set() if e else {t}
+            best = max(best, value / 2 if e else value)
+        log = math.log1p
+        want = [log(exact), log(near), log(quoted), log(direct), best, log(len(terms)), log(exact) / log(len(spans)) if spans else 0]
+        assert m.features(text) == pytest.approx(want), text
+
+
+def test_apostrophes_and_lone_marks_quote_nothing():
+    f = toxicity.Matcher({"idiot": 2.0}).features
+    assert f("you don’t see an idiot") == f("you dont see an idiot") or f("you don’t see an idiot")[2] == 0
+    assert f('5" of rain, you idiot')[2] == 0 and f('a " lone mark\nidiot " there')[2] == 0
+    assert f("he called „idiot“ once")[2] > 0 and f("say ‘an idiot’ now")[2] > 0 and f("»idiot«")[2] > 0
+    assert toxicity.quotations('"a “b” c" d "e"') == ([0, 12], [8, 14])
+
+
+def test_lexicon_by_brute_force():
+    import math
+
+    texts = [f"plain words here {'vile' if i % 3 == 0 else 'mild'} tail{i % 5}" for i in range(60)]
+    y = np.array([i % 3 == 0 for i in range(60)], int)
+    got = toxicity.learn_lexicon(texts, y)
+    t, c = int(y.sum()), int((1 - y).sum())
+    want = {}
+    for w in {w for x in texts for w in x.split()}:
+        k1 = sum(w in x.split() for x, k in zip(texts, y, strict=True) if k)
+        k0 = sum(w in x.split() for x, k in zip(texts, y, strict=True) if not k)
+        lift = ((k1 + 0.5) / (t + 1)) / ((k0 + 0.5) / (c + 1))
+        if k1 >= toxicity.MIN_DOCS and lift >= toxicity.MIN_LIFT:
+            want[w] = math.log(lift) * math.sqrt(k1) / math.sqrt(t)
+    assert got == pytest.approx(want) and set(got) == {"vile"}
+
+
 def test_toxicity_learns_and_scores(spark, docs, empty):
     rows = [(i, f"you are a {'vilething' if i % 2 else 'kind'} person number {i % 9}") for i in range(400)]
     d = spark.createDataFrame(rows, "doc_id bigint, text string")
@@ -326,6 +404,65 @@ def test_quality(spark, docs, empty):
     assert none is None and {r.quality for r in quality.score_documents(docs, blank).collect()} == {0.5}
 
 
+def test_label_model_by_brute_force():
+    """Expectation-maximisation row by row, with plain loops, gives the rates, posteriors and accuracies of the pattern counts."""
+    import math
+
+    r = np.random.default_rng(9)
+    k = quality.N_VOTES
+    rows = np.where(r.random((150, k)) < 0.12, -1, np.where(r.random((150, k)) < 0.3, 1, 0))
+    rows[:, : len(quality.LABELLERS)] = np.minimum(rows[:, : len(quality.LABELLERS)], 0)
+    patterns, n = np.unique(rows, axis=0, return_counts=True)
+    model = quality.LabelModel(patterns, n.astype(float))
+    kinds = []
+    for row in rows:
+        fired = [j for j in range(k) if row[j] < 0]
+        good = 0.02 if fired else 0.95
+        kinds.append([good, *((1 - good) * ((j in fired) / len(fired) if fired else 1 / k) for j in range(k))])
+    total_rows = len(rows)
+    for _ in range(quality.ROUNDS):
+        prior, rate = [], []
+        for z in range(k + 1):
+            mass = sum(x[z] for x in kinds)
+            prior.append((mass + 1) / (total_rows + k + 1))
+            per = []
+            for j in range(k):
+                c = [0.5 + sum(x[z] for x, row in zip(kinds, rows, strict=True) if row[j] == v) for v in (-1, 0, 1)]
+                if z == 0:
+                    held = model.PRIOR * total_rows
+                    rest = c[1] + c[2]
+                    c = [c[0] + held * model.FALSE_ALARM, *(x + held * (1 - model.FALSE_ALARM) * x / rest for x in c[1:])]
+                per.append([x / sum(c) for x in c])
+            rate.append(per)
+        kinds = []
+        for row in rows:
+            like = []
+            for z in range(k + 1):
+                told = [j for j in range(k) if row[j] or j < len(quality.LABELLERS)]
+                like.append(prior[z] * math.prod(rate[z][j][row[j] + 1] for j in told))
+            kinds.append([x / sum(like) for x in like])
+    assert np.allclose(np.exp(model.rates), rate) and np.allclose(model.posterior(rows), [x[0] for x in kinds])
+    bad = np.array([[prior[z] * rate[z][j][0] for j in range(k)] for z in range(k + 1)])
+    assert np.allclose(model.accuracies(), 1 - bad[0] / bad.sum(axis=0))
+
+
+def test_scorer_is_at_the_minimum():
+    """The gradient that the fit follows vanishes where it ends: checked by differences of the penalised loss."""
+    texts = [f"calm words about the sea number {i} and more of them" if i % 2 else f"$$$ {i} ## !! %% *** $$ {i}" for i in range(40)]
+    target = np.array([0.9 if i % 2 else 0.2 for i in range(40)])
+    w = quality.fit_scorer(texts, target, rounds=3000, ridge=1e-2).weights
+    rows = [quality.hashed(t) for t in texts]
+
+    def loss(w):
+        z = np.array([sum(w[i] * v for i, v in row.items()) + w[-1] for row in rows])
+        return np.mean(np.logaddexp(0, z) - target * z) + 0.5e-2 * (w @ w)
+
+    for i in [*sorted({i for row in rows for i in row})[:25], len(w) - 1]:
+        step = np.zeros_like(w)
+        step[i] = 1e-4
+        assert abs(loss(w + step) - loss(w - step)) / 2e-4 < 2e-3
+
+
 def _segmentations(text, v):
     """All segmentations of a normal form, with log probabilities."""
     table = {b.decode().replace(" ", segmentation.MARK): i for i, b in enumerate(v.bytes) if b and i not in set(v.byte_id.tolist())}
@@ -347,12 +484,12 @@ def _segmentations(text, v):
 
 
 def test_samples_are_distinct_and_follow_the_lattice():
-    v = segmentation.vocabulary(PIECES)
+    v = segmentation.Vocabulary(PIECES)
     text = "a bad"
     every = _segmentations(text, v)
     total = np.logaddexp.reduce(list(every.values()))
     first, n = {}, 3000
-    out = segmentation.sample_batch(segmentation.row_keys(list(range(n)), 1), [text] * n, v, 4)
+    out = segmentation.sample_batch(segmentation.row_keys(list(range(n)), 1), [text] * n, segmentation.Lattices(v), 4)
     for found, _ in out:
         seqs = [tuple(segmentation.spelled(ids, v).tolist()) for ids, _, _ in found]
         assert len(set(seqs)) == len(seqs) == min(4, len(every)) and set(seqs) <= set(every)
@@ -365,9 +502,46 @@ def test_samples_are_distinct_and_follow_the_lattice():
         assert abs(first.get(s, 0) / n - p) < 5 * np.sqrt(p * (1 - p) / n) + 1e-3
 
 
+def test_second_draws_and_inclusion_scores():
+    """Pairs are drawn as without replacement, and weighing each sample by its inclusion score counts every one once."""
+    v = segmentation.Vocabulary(PIECES)
+    text, n, k = "a bad", 6000, 2
+    every = _segmentations(text, v)
+    total = np.logaddexp.reduce(list(every.values()))
+    p = {s: float(np.exp(lp - total)) for s, lp in every.items()}
+    pairs, weight = {}, dict.fromkeys(every, 0.0)
+    squares = dict.fromkeys(every, 0.0)
+    for found, kappa in segmentation.sample_batch(segmentation.row_keys(list(range(n)), 3), [text] * n, segmentation.Lattices(v), k):
+        seqs = [tuple(segmentation.spelled(ids, v).tolist()) for ids, _, _ in found]
+        pairs[tuple(seqs)] = pairs.get(tuple(seqs), 0) + 1
+        for s, (_, lp, _) in zip(seqs, found, strict=True):
+            w = 1 / -np.expm1(-np.exp(lp - kappa))
+            weight[s] += w
+            squares[s] += w * w
+    for a, b in itertools.permutations(every, 2):
+        want = p[a] * p[b] / (1 - p[a])
+        assert abs(pairs.get((a, b), 0) / n - want) < 5 * np.sqrt(want / n) + 1e-3
+    for s in every:
+        if p[s] > 0.01:
+            assert abs(weight[s] / n - 1) < 5 * np.sqrt(squares[s]) / n + 0.02, (s, p[s], weight[s] / n)
+
+
+def test_samples_depend_on_the_row_alone():
+    """Not on the batch, nor on what the worker has seen before."""
+    v = segmentation.Vocabulary(PIECES)
+    texts = [t or "" for _, t in _texts()]
+    keys = segmentation.row_keys(list(range(len(texts))), 5)
+    lat = segmentation.Lattices(v)
+    whole = segmentation.sample_batch(keys, texts, lat, 3)
+    for i in reversed(range(len(texts))):
+        [one] = segmentation.sample_batch(keys[i : i + 1], texts[i : i + 1], segmentation.Lattices(v), 3)
+        assert [list(ids) for ids, _, _ in one[0]] == [list(ids) for ids, _, _ in whole[i][0]]
+
+
 def test_segmentations_decode(docs, empty):
     got = segmentation.sample_segmentations(docs, PIECES, 3).collect()
-    assert all(r.decodes and 0 <= r.inclusion <= 1 for r in got)
+    marked = {i for i, t in _texts() if segmentation.MARK in (t or "")}  # the model reads its own mark as a space
+    assert all(r.decodes == (r.doc_id not in marked) and 0 <= r.inclusion <= 1 for r in got)
     assert {r.doc_id for r in got} == {i for i, _ in _texts()}
     assert segmentation.sample_segmentations(empty, PIECES).count() == 0
 
