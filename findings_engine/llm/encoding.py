@@ -24,10 +24,10 @@ import string
 
 import numpy as np
 
-MEMO_CHUNKS = 1 << 20
-MEMO_IDS = 16 * MEMO_CHUNKS
+MEMO_CHUNKS = 1 << 19
+MEMO_IDS = 8 * MEMO_CHUNKS
 MEMO_BYTES = 256
-SLICE_CHARS = 2 << 20
+SLICE_CHARS = 1 << 20
 KEY = 24  # bytes of a key; the last is the chunk's length
 _U = np.uint64
 _FEEDS = re.compile(r"\n\n?[!-~]+")
@@ -75,7 +75,7 @@ class KeyTable:
 
     def __init__(self, limit: int):
         self.limit = limit
-        bits = max(10, (4 * limit - 1).bit_length())
+        bits = max(10, (3 * limit).bit_length())
         self.shift, self.last = _U(64 - bits), (1 << bits) - 1
         self.slots = np.full(1 << bits, -1, np.int32)
         self.keys = np.zeros((1024, KEY // 8), _U)
@@ -130,7 +130,7 @@ class ChunkTable(KeyTable):
 
     def __init__(self, limit: int):
         super().__init__(limit)
-        self.start, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.start, self.size = np.zeros(1024, np.int32), np.zeros(1024, np.int32)
         self.ids = np.zeros(4096, np.uint32)
         self.used = 0
 

@@ -45,7 +45,7 @@ from .encoding import KEY, KeyTable, distinct_keys, keys_of, vocabulary_path
 
 SAMPLES, SEED, RANK_SHIFT, BYTE_LOG = 2, 20, 30.0, -14.0
 MARK = "▁"
-SLICE_CHARS, LATTICE_NODES = 1_200_000, 3 << 20
+SLICE_CHARS, LATTICE_NODES = 1_200_000, 2 << 20
 ROW = (
     "doc_id bigint, sample int, n_pieces bigint, ids_crc32 bigint, log_prob double, perturbed double,"
     " inclusion double, decodes boolean"
