@@ -1,8 +1,12 @@
 """Which definition a reference names: match, no match or ambiguous, always with a reason.
 
-A name's definitions travel as one array, so a reference is one row whatever
-the number of definitions, and the note's body is compared with them in place:
-no row per (reference, definition) is ever made.
+A reference may have very many definitions of its name, so it is never paired
+with them. What a note says is turned into keys (dotted spellings and their
+suffixes, qualified names and paths that stand in its text, the author's own
+word), and the definitions of a name are indexed by the same keys, one row a
+(name, key) with the first and the last definition that has it. A decision only
+asks whether none, one or several definitions match: one if first and last are
+the same. So rows grow with what notes say, not with references times definitions.
 """
 
 from __future__ import annotations
@@ -16,12 +20,86 @@ from ..functions import rx
 DEFAULT_MAX_LINKS = 8
 
 
-def definitions_by_name(symbols: DataFrame) -> DataFrame:
-    """symbol_def rows to name, locations: in the order (path, line, kind)."""
+def _locations(symbols: DataFrame) -> DataFrame:
+    """symbol_def rows to name, loc: comparable in the order (path, line, kind)."""
     stem = F.split(C.without_extension(F.replace("path", F.lit("\\"), F.lit("/"))), "/")
     parts = F.when(F.element_at(stem, -1) == "__init__", F.slice(stem, 1, F.size(stem) - 1)).otherwise(stem)
-    loc = F.struct("path", "line", "kind", "qualified_name", parts.alias("parts"))
-    return symbols.groupBy("name").agg(F.array_sort(F.collect_list(loc)).alias("locations"))
+    return symbols.select("name", F.struct("path", "line", "kind", "qualified_name", parts.alias("parts")).alias("loc"))
+
+
+def _suffixes(parts: Column, glue: str) -> Column:
+    """The last 1, 2, ... of the parts, joined."""
+    n = F.size(parts)
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(parts, i, n), glue))).otherwise(
+        F.array().cast("array<string>")
+    )
+
+
+def _marked(mark: str, keys: Column) -> Column:
+    return F.transform(keys, lambda k: F.concat(F.lit(mark), k))
+
+
+def _some(when: Column, value: Column) -> Column:
+    return F.when(F.coalesce(when, F.lit(False)), F.array(value)).otherwise(F.array().cast("array<string>"))
+
+
+def definition_keys(symbols: DataFrame) -> DataFrame:
+    """name, key, lo, hi: the first and the last definition of a name that a key stands for.
+
+    Keys: s: a qualified name or one of its dotted suffixes, w: a dotted qualified
+    name, p: a suffix of the path's parts, q: a qualified name other than the name
+    itself, f: a path, o: whatever an override may say.
+    """
+    q, path = F.col("loc.qualified_name"), F.col("loc.path")
+    named = q != ""
+    keys = F.concat(
+        F.when(F.coalesce(named, F.lit(False)), _marked("s:", _suffixes(F.split(q, r"\."), "."))).otherwise(F.array().cast("array<string>")),
+        _some(named & q.contains("."), F.concat(F.lit("w:"), q)),
+        _marked("p:", _suffixes(F.col("loc.parts"), "/")),
+        _some(named & (q != F.col("name")), F.concat(F.lit("q:"), q)),
+        F.array(F.concat(F.lit("f:"), path), F.concat(F.lit("o:"), path), F.concat(F.lit("o:"), C.location(path, F.col("loc.line")))),
+        _some(named, F.concat(F.lit("o:"), q)),
+    )
+    each = _locations(symbols).select("name", "loc", F.explode(F.array_distinct(keys)).alias("key"))
+    return each.groupBy("name", "key").agg(F.min("loc").alias("lo"), F.max("loc").alias("hi"))
+
+
+#: Two runs of word characters with one character between, or one run, that stand inside a path with
+#: something else on both sides: where the path stands in a text, so does its key, as whole runs.
+_PAIR, _RUN = r"(?s).*(?<=\W)(\w+\W\w+)(?=\W)", r"(?s).*(?<=\W)(\w+)(?=\W)"
+
+
+def _path_key(path: Column) -> Column:
+    return F.coalesce(C.first_group(path, _PAIR), C.first_group(path, _RUN))
+
+
+def paths_in_notes(notes: DataFrame, symbols: DataFrame) -> DataFrame:
+    """note, paths: the definitions' paths with a key that stand in the note's text, wherever."""
+    keyed = symbols.select("path").distinct().select(_path_key(F.col("path")).alias("key"), "path").where("key is not null")
+    body = F.col("body")
+    words = F.array_union(C.find_all(body, r"(?<!\w)(?=(\w+\W\w+))"), C.find_all(body, r"\w+", 0))
+    near = notes.select("note", F.explode(words).alias("key")).join(keyed, "key").select("note", "path").distinct()
+    found = near.join(notes.select("note", "body"), "note").where(F.contains("body", "path"))
+    return found.groupBy("note").agg(F.collect_set("path").alias("paths"))
+
+
+def names_of(symbols: DataFrame) -> DataFrame:
+    """name, n (definitions), only (the first), and what its keys need of a text.
+
+    lengths: of what stands before ``.name`` in its qualified names; odd: qualified
+    names that don't end so; loose: paths without a key. The last two are compared
+    with the texts of the name's references one by one.
+    """
+    q, name = F.col("loc.qualified_name"), F.col("name")
+    other = F.coalesce((q != "") & (q != name), F.lit(False))
+    ends = q.endswith(F.concat(F.lit("."), name))
+    return _locations(symbols).groupBy("name").agg(
+        F.count("*").alias("n"),
+        F.min("loc").alias("only"),
+        F.collect_set(F.when(other & ends, F.length(q) - F.length(name) - 1)).alias("lengths"),
+        F.collect_set(F.when(other & ~ends, q)).alias("odd"),
+        F.collect_set(F.when(_path_key(F.col("loc.path")).isNull(), F.col("loc.path"))).alias("loose"),
+    )
 
 
 def dotted_refs(chains: Column, name: Column) -> Column:
@@ -51,92 +129,108 @@ def matches_path(loc: Column, segments: Column) -> Column:
     return last(whole - 1, F.slice(segments, 1, whole - 1)) | last(whole, segments)
 
 
-def _evidence(locs: Column, body: Column, name: Column, want: Column, refs: Column) -> Column:
-    """Which definitions each kind of evidence points at."""
+def _qualified_in(body: Column, name: Column, lengths: Column) -> Column:
+    """For each place of ``.name`` in the text, what stands before it, as long as a qualified name has it."""
+    dotted = F.concat(F.lit("."), name)
+    parts = F.split(body, F.concat(F.lit("\\Q"), F.replace(dotted, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")), -1)
 
-    def any_ref(test):
-        return F.filter(locs, lambda x: F.exists(refs, lambda r: test(x, r)))
+    def at(p):
+        before = F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: F.call_function("array_join", F.slice(p, 1, i), dotted))
+        one = lambda x: F.transform(F.filter(lengths, lambda k: k <= F.length(x)), lambda k: F.concat(F.right(x, k), dotted))
+        return F.when(F.size(p) > 1, F.flatten(F.transform(before, one))).otherwise(F.array().cast("array<string>"))
 
-    def found(dq):
-        rest = F.when((F.size(refs) > 0) & (F.size(dq) == 0), any_ref(lambda x, r: matches_path(x, r["segments"]))).otherwise(dq)
-        q = F.filter(
-            locs,
-            lambda x: F.coalesce(
-                (x["qualified_name"] != "") & (x["qualified_name"] != name) & F.contains(body, x["qualified_name"]), F.lit(False)
-            ),
-        )
-        o = F.filter(
-            locs,
-            lambda x: F.coalesce(x["qualified_name"] == want, F.lit(False))
-            | (x["path"] == want)
-            | (C.location(x["path"], x["line"]) == want),
-        )
-        return F.struct(
-            F.size(refs).alias("refs"), F.size(dq).alias("dq"), rest.alias("d"), q.alias("q"),
-            F.filter(locs, lambda x: F.contains(body, x["path"])).alias("p"),
-            F.when(want.isNotNull(), o).otherwise(F.slice(locs, 1, 0)).alias("o"),
-        )
+    return F.when(F.size(lengths) > 0, C.let(parts, at)).otherwise(F.array().cast("array<string>"))
 
-    return C.let(any_ref(lambda x, r: matches_qualified(x, r["ref"])), found)
+
+def _keys(refs: Column, name: Column, body: Column, want: Column) -> Column:
+    """The keys that a note gives for a name."""
+
+    def spelled(r):
+        segments = F.split(r, r"\.")
+        path = F.array(F.array_join(F.slice(segments, 1, F.size(segments) - 1), "/"), F.array_join(segments, "/"))
+        longer = F.filter(_suffixes(segments, "."), lambda x: x.contains("."))
+        return F.concat(F.array(F.concat(F.lit("s:"), r)), _marked("w:", longer), _marked("p:", path))
+
+    within = lambda c: F.filter(c, lambda x: F.contains(body, x))
+    paths = F.coalesce(F.col("paths"), F.array().cast("array<string>"))
+    return F.array_distinct(
+        F.concat(
+            F.flatten(F.transform(refs, spelled)),
+            _marked("q:", F.concat(_qualified_in(body, name, F.col("lengths")), within(F.col("odd")))),
+            _marked("f:", F.concat(paths, within(F.col("loose")))),
+            _some(want.isNotNull(), F.concat(F.lit("o:"), want)),
+        )
+    )
 
 
 def resolve(refs: DataFrame, notes: DataFrame, symbols: DataFrame) -> DataFrame:
     """refs (note, name, evidence), notes (note, body, overrides) and symbol_def to one decision a reference.
 
-    note, name, evidence, reason, location (null where the link is withheld)
-    and candidates (formatted, in definition order).
+    note, name, evidence, reason, location (null where the link is withheld) and
+    definitions (how many the name has).
     """
-    defined = definitions_by_name(symbols)
-    spelled = F.transform(
-        dotted_refs(F.col("chains"), F.col("name")), lambda r: F.struct(r.alias("ref"), F.split(r, r"\.").alias("segments"))
-    )
+    texts = notes.select("note", "body", "overrides", C.find_all(F.col("body"), rx.CHAIN, 0).alias("chains"))
+    rows = refs.join(names_of(symbols), "name").join(texts, "note").join(paths_in_notes(notes, symbols), "note", "left")
     wanted = F.try_element_at("overrides", F.col("name"))
-    rows = (
-        refs.join(defined, "name")
-        .join(notes.select("note", "body", "overrides", C.find_all(F.col("body"), rx.CHAIN, 0).alias("chains")), "note")
-        .select(
-            "note", "name", "evidence", "locations", wanted.alias("want"),
-            C.let(spelled, lambda r: _evidence(F.col("locations"), F.col("body"), F.col("name"), wanted, r)).alias("m"),
+    rows = rows.withColumn("want", wanted).withColumn("refs", dotted_refs(F.col("chains"), F.col("name")))
+    keys = _keys(F.col("refs"), F.col("name"), F.col("body"), F.col("want"))
+    info = F.struct("evidence", "n", "only", F.col("want").isNotNull().alias("wanted"), "refs")
+    key = lambda k: F.struct(k.alias("key"), F.lit(None).cast(_INFO).alias("info"))
+    # What belongs to the reference travels once, on a row of its own without a key.
+    own = F.array(F.struct(F.lit(None).cast("string").alias("key"), info.cast(_INFO).alias("info")))
+    each = rows.select("note", "name", keys.alias("keys"), own.alias("own")).select(
+        "note", "name", F.explode(F.concat("own", F.transform("keys", key))).alias("e")
+    )
+    each = each.select("note", "name", "e.key", "e.info").join(definition_keys(symbols), ["name", "key"], "left")
+    mark = F.left("key", F.lit(2))
+    span = [
+        x
+        for short, marks in (("dq", ("s:", "w:")), ("dp", ("p:",)), ("q", ("q:",)), ("p", ("f:",)), ("o", ("o:",)))
+        for x in (
+            F.min(F.when(mark.isin(*marks), F.col("lo"))).alias(f"{short}_lo"),
+            F.max(F.when(mark.isin(*marks), F.col("hi"))).alias(f"{short}_hi"),
         )
-        .select("note", "name", "evidence", "locations", "want", "m.*")
-    )
-    n = lambda c: F.size(c)
-    first = lambda c: F.get(c, F.lit(0))
-    dotted = F.col("refs") > 0
+    ]
+    found = each.groupBy("note", "name").agg(F.first("info", True).alias("info"), *span).select("note", "name", "info.*", *_SPANS)
+
+    some = lambda k: F.col(f"{k}_lo").isNotNull()
+    one = lambda k: some(k) & (F.col(f"{k}_lo") == F.col(f"{k}_hi"))
+    many = lambda k: some(k) & (F.col(f"{k}_lo") != F.col(f"{k}_hi"))
+    dotted = F.size("refs") > 0
+    d, d_one = some("dq") | some("dp"), F.when(some("dq"), one("dq")).otherwise(one("dp"))
+    # Whether the one definition whose path stands in the note is among those that the dotted spellings match.
+    agrees = F.when(some("dq"), F.exists("refs", lambda r: matches_qualified(F.col("p_lo"), r))).otherwise(
+        F.exists("refs", lambda r: matches_path(F.col("p_lo"), F.split(r, r"\.")))
+    )
     decided = [
-        (F.col("want").isNotNull() & (n("o") > 0), "frontmatter-override", first("o")),
-        (F.col("want").isNotNull(), "override-unmatched", None),
-        (dotted & (n("d") == 0), "dotted-unmatched", None),
-        (n("locations") == 1, "unique", first("locations")),
-        (n("q") > 1, "multiple-qualified-names", None),
-        (n("p") > 1, "multiple-paths-in-note", None),
-        ((n("q") == 1) & (n("p") == 1) & (first("q") != first("p")), "qualified-name-and-path-disagree", None),
-        (
-            (n("d") > 0) & (n("p") == 1) & ~F.array_contains("d", F.coalesce(first("p"), first("locations"))),
-            "dotted-and-path-disagree",
-            None,
-        ),
-        (n("q") == 1, "qualified-name", first("q")),
-        (n("p") == 1, "path-in-note", first("p")),
-        (dotted & (n("d") == 1) & (F.col("dq") > 0), "dotted-name", first("d")),
-        (dotted & (n("d") == 1), "dotted-path", first("d")),
+        (F.col("wanted") & some("o"), "frontmatter-override", "o_lo"),
+        (F.col("wanted"), "override-unmatched", None),
+        (dotted & ~d, "dotted-unmatched", None),
+        (F.col("n") == 1, "unique", "only"),
+        (many("q"), "multiple-qualified-names", None),
+        (many("p"), "multiple-paths-in-note", None),
+        (one("q") & one("p") & (F.col("q_lo") != F.col("p_lo")), "qualified-name-and-path-disagree", None),
+        (dotted & d & one("p") & ~agrees, "dotted-and-path-disagree", None),
+        (one("q"), "qualified-name", "q_lo"),
+        (one("p"), "path-in-note", "p_lo"),
+        (dotted & d_one & some("dq"), "dotted-name", "dq_lo"),
+        (dotted & d_one, "dotted-path", "dp_lo"),
         (dotted, "dotted-ambiguous", None),
     ]
     reason, place = None, None
     for when, code, loc in decided:
-        loc = loc if loc is not None else F.lit(None)
         reason = (F if reason is None else reason).when(when, code)
-        place = (F if place is None else place).when(when, loc)
-    return rows.select(
-        "note",
-        "name",
-        "evidence",
-        reason.otherwise("ambiguous").alias("reason"),
-        place.alias("location"),
-        F.transform("locations", lambda x: C.location(x["path"], x["line"])).alias("candidates"),
+        place = (F if place is None else place).when(when, F.lit(None) if loc is None else F.col(loc))
+    return found.select(
+        "note", "name", "evidence", reason.otherwise("ambiguous").alias("reason"), place.alias("location"), F.col("n").alias("definitions")
     )
 
 
+_LOC = "struct<path:string,line:int,kind:string,qualified_name:string,parts:array<string>>"
+_INFO = f"struct<evidence:string,n:bigint,only:{_LOC},wanted:boolean,refs:array<string>>"
+_SPANS = [f"{k}_{end}" for k in ("dq", "dp", "q", "p", "o") for end in ("lo", "hi")]
+
+
 def cap_links(decisions: DataFrame, max_links: int = DEFAULT_MAX_LINKS) -> DataFrame:
     """note, name, path, line, evidence, reason, rank: resolved links only, spans first, at most max_links a note."""
     order = Window.partitionBy("note").orderBy(F.when(F.col("evidence") == "inline-code", 0).otherwise(1), "name")
@@ -167,16 +261,26 @@ def cap_anchors(resolved: DataFrame, links: DataFrame, max_links: int = DEFAULT_
 
 
 def ambiguous(decisions: DataFrame, resolved_files: DataFrame) -> DataFrame:
-    """note, kind, ref, reason, candidates: every reference whose link is withheld."""
+    """note, kind, ref, reason: every reference whose link is withheld."""
     symbols = decisions.where(F.col("location").isNull()).select(
-        "note", F.lit("symbol").alias("kind"), F.col("name").alias("ref"), "reason", "candidates"
+        "note", F.lit("symbol").alias("kind"), F.col("name").alias("ref"), "reason"
     )
     files = resolved_files.where(F.size("matches") > 1).select(
-        "note", F.lit("file").alias("kind"), "ref", F.lit("file-suffix").alias("reason"), F.col("matches").alias("candidates")
+        "note", F.lit("file").alias("kind"), "ref", F.lit("file-suffix").alias("reason")
     )
     return symbols.unionByName(files)
 
 
+def candidates(withheld: DataFrame, symbols: DataFrame, resolved_files: DataFrame) -> DataFrame:
+    """kind, ref, candidates of each reference withheld somewhere: once, not once a note; in definition order."""
+    asked = withheld.where(F.col("kind") == "symbol").select(F.col("ref").alias("name")).distinct()
+    place = F.transform(F.array_sort(F.collect_list("loc")), lambda x: C.location(x["path"], x["line"]))
+    named = _locations(symbols).join(asked, "name", "left_semi").groupBy(F.col("name").alias("ref")).agg(place.alias("candidates"))
+    files = resolved_files.where(F.size("matches") > 1).groupBy("ref").agg(F.any_value("matches").alias("candidates"))
+    row = lambda df, kind: df.select(F.lit(kind).alias("kind"), "ref", "candidates")
+    return row(named, "symbol").unionByName(row(files, "file"))
+
+
 def unlinked(notes: DataFrame, links: DataFrame, anchors: DataFrame, withheld: DataFrame, names: DataFrame) -> DataFrame:
     """note, reason of each note without links and anchors; withheld file references don't count as a reason."""
     bare = notes.join(links.select("note").union(anchors.select("note")).distinct(), "note", "left_anti").select("note", "body")

@@ -45,11 +45,9 @@ def anchored_files(anchors: DataFrame) -> DataFrame:
     )
 
 
-def ambiguous_refs(withheld: DataFrame) -> DataFrame:
+def ambiguous_refs(withheld: DataFrame, candidates: DataFrame) -> DataFrame:
     """kind, ref, notes, candidates."""
-    return withheld.groupBy("kind", "ref").agg(
-        F.array_sort(F.collect_set("note")).alias("notes"), F.any_value("candidates").alias("candidates")
-    )
+    return withheld.groupBy("kind", "ref").agg(F.array_sort(F.collect_set("note")).alias("notes")).join(candidates, ["kind", "ref"])
 
 
 def link_metrics(

@@ -23,7 +23,7 @@ class LinkOptions:
 
 @dataclass
 class Linked:
-    """notes (note, body, overrides, ...), decisions, resolved files, links, anchors, withheld, unlinked."""
+    """notes (note, body, overrides, ...), decisions, resolved files, links, anchors, withheld, unlinked; the symbols that it stands on."""
 
     notes: DataFrame
     decisions: DataFrame
@@ -32,6 +32,10 @@ class Linked:
     anchors: DataFrame
     withheld: DataFrame
     unlinked: DataFrame
+    symbols: DataFrame
+
+    def ambiguous_refs(self) -> DataFrame:
+        return U.ambiguous_refs(self.withheld, V.candidates(self.withheld, self.symbols, self.resolved))
 
     def metrics(self, skipped: DataFrame | None = None) -> DataFrame:
         return U.link_metrics(self.notes, self.links, self.anchors, self.withheld, self.unlinked, skipped)
@@ -55,7 +59,7 @@ def outcome(notes: DataFrame, symbols: DataFrame, decisions: DataFrame, files: D
     anchors = V.cap_anchors(resolved, links, options.max_links)
     withheld = V.ambiguous(decisions, resolved)
     bare = V.unlinked(notes, links, anchors, withheld, symbols)
-    return Linked(notes, decisions, resolved, links, anchors, withheld, bare)
+    return Linked(notes, decisions, resolved, links, anchors, withheld, bare, symbols)
 
 
 def located(links: DataFrame) -> DataFrame:

@@ -264,7 +264,7 @@ def override_mapping(spark, d):
 def resolve_decision(spark, d):
     return decide(_notes(spark, d), _symbols(spark, d)).select(
         "note", "name", "evidence", "reason", "location.path", F.col("location.line").cast("long").alias("line"),
-        F.size("candidates").cast("long").alias("candidates"),
+        F.col("definitions").alias("candidates"),
     )
 
 
@@ -334,7 +334,7 @@ def anchored_files(spark, d):
 select 'symbol' as kind, name as ref, count(distinct note) as notes, max(n) as candidates from dec where path is null group by name
 union all select 'file', ref, count(distinct k), max(n) from fres where n > 1 group by ref""", "dec", "frefs"))
 def ambiguous_refs(spark, d):
-    got = U.ambiguous_refs(_linked(spark, d).withheld)
+    got = _linked(spark, d).ambiguous_refs()
     return got.select("kind", "ref", F.size("notes").cast("long").alias("notes"), F.size("candidates").cast("long").alias("candidates"))
 
 
@@ -380,7 +380,7 @@ union all select distinct 5, 0, ref from fres where n > 1""", "anchors"))  # fmt
 def code_index(spark, d):
     done = _linked(spark, d)
     lines = D.code_index_lines(
-        U.reverse_index(done.links), U.anchored_files(done.anchors), U.symbol_hotspots(done.links), U.file_hotspots(done.links), done.withheld
+        U.reverse_index(done.links), U.anchored_files(done.anchors), U.symbol_hotspots(done.links), U.file_hotspots(done.links), done.ambiguous_refs()
     )
     return lines.select("section", "at1", "at2")
 

@@ -78,7 +78,7 @@ def rewritten(notes: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def code_index_lines(
-    reverse: DataFrame, anchored: DataFrame, hot_symbols: DataFrame, hot_files: DataFrame, withheld: DataFrame
+    reverse: DataFrame, anchored: DataFrame, hot_symbols: DataFrame, hot_files: DataFrame, ambiguous_refs: DataFrame
 ) -> DataFrame:
     """section, at1 (descending count), at2 (name), line of the reverse index; a section without rows has no heading."""
 
@@ -89,17 +89,16 @@ def code_index_lines(
     tick = lambda c: F.concat(F.lit("`"), c, F.lit("`"))
     text = lambda c: F.col(c).cast("string")
     loc = C.escape_pipe(F.col("location"))
-    amb = withheld.groupBy("kind", "ref").agg(F.array_sort(F.collect_set("note")).alias("notes"), F.any_value("candidates").alias("c"))
     entry = F.concat(
         F.lit("### "), tick(F.col("ref")), F.lit("\n\nReferenced by: "), _wiki(F.col("notes")), F.lit("\n\nCandidates:\n\n- "),
-        F.array_join("c", "\n- "),
+        F.array_join("candidates", "\n- "),
     )
     return (
         rows(reverse, 1, F.col("note_count"), "name", pipe(tick(F.col("name")), loc, _wiki(F.col("notes"))))
         .unionByName(rows(anchored, 2, F.col("note_count"), "path", pipe(C.escape_pipe(F.col("path")), _wiki(F.col("notes")))))
         .unionByName(rows(hot_symbols, 3, F.col("note_count"), "name", pipe(tick(F.col("name")), loc, _wiki(F.col("notes")), text("note_count"))))
         .unionByName(rows(hot_files, 4, F.col("note_links"), "path", pipe(C.escape_pipe(F.col("path")), text("distinct_symbols"), text("note_links"))))
-        .unionByName(rows(amb, 5, F.when(F.col("kind") == "symbol", 1).otherwise(0), "ref", entry))
+        .unionByName(rows(ambiguous_refs, 5, F.when(F.col("kind") == "symbol", 1).otherwise(0), "ref", entry))
     )
 
 
