@@ -33,63 +33,58 @@ def check(
 ) -> DataFrame:
     """findings() rows to id, level, code, detail; titles: (note, title, ord) of existing notes, normalised."""
     stop = sorted(rx.STOPWORDS)
-    claims = _claims(found, files)
-    tokens = found.select(F.col("id").alias("note"), F.explode(deliberate(F.col("blob"))).alias("token")).withColumn(
-        "tail", C.tail(F.col("token"))
-    )
-    by_note = claims.groupBy("note").agg(
-        F.max(F.when(F.col("n") == 1, 1).otherwise(0)).alias("anchored"),
-        F.max(F.when((F.col("n") > 0) | F.col("unknown"), 1).otherwise(0)).alias("cites"),
-    )
+    notes = found.select(F.col("id").alias("note"), F.col("blob").alias("body"))
+    tokens = notes.select("note", F.explode(deliberate(F.col("body"))).alias("token")).withColumn("tail", C.tail(F.col("token")))
     if symbols is not None:
-        known = ubiquity(symbols).select(F.col("name").alias("tail"), "ubiquitous")
-        tokens = tokens.join(known, "tail", "left")
+        known = ubiquity(symbols)
+        tokens = tokens.join(known.select(F.col("name").alias("tail"), "ubiquitous"), "tail", "left")
     else:
         tokens = tokens.withColumn("ubiquitous", F.lit(None).cast("boolean"))
-    common = F.col("tail").isin(*stop)
-    indexed = F.col("ubiquitous").isNotNull()
-    wide = F.coalesce("ubiquitous", F.lit(False))
-    per = tokens.groupBy("note").agg(
-        F.max(F.when(~common & ~wide if symbols is not None else F.lit(True), 1).otherwise(0)).alias("names"),
-        F.max(F.when(indexed & ~common & ~wide, 1).otherwise(0)).alias("anchor"),
-        F.lit(1).alias("some"),
-    )
-    facts = found.select(F.col("id").alias("note"), "has_status", "has_severity", "lint_title")
-    facts = facts.join(per, "note", "left").join(by_note, "note", "left")
-    if symbols is not None:
-        notes = found.select(F.col("id").alias("note"), F.col("blob").alias("body"))
-        cand = symbol_refs(notes, symbols, DEFAULT_MIN_LEN).join(ubiquity(symbols).where("not ubiquitous"), "name", "left_semi")
-        cand = cand.where(~F.lower("name").isin(*stop)).select("note").distinct().withColumn("cand", F.lit(1))
-        facts = facts.join(cand, "note", "left")
-    else:
-        facts = facts.withColumn("cand", F.lit(0))
-    yes = lambda c: F.coalesce(F.col(c), F.lit(0)) == 1
-    row = lambda df, level, code, detail: df.select(
-        F.col("note").alias("id"), F.lit(level).alias("level"), F.lit(code).alias("code"), detail.alias("detail")
-    )
-    prose = facts.where(~yes("names") & ~yes("cand") & ~yes("cites"))
-    out = row(prose, "warning", "prose-only", F.when(yes("some"), COMMON_NAMES).otherwise(NO_NAMES))
-
-    unknown = claims.where("unknown").select("note", "ref")
+    common, indexed, wide = F.col("tail").isin(*stop), F.col("ubiquitous").isNotNull(), F.coalesce("ubiquitous", F.lit(False))
+    telling = ~common & ~wide if symbols is not None else F.lit(True)
+    lost = ~indexed & ~common if symbols is not None else F.lit(False)
+    # What a finding's text holds is folded to one row of it, so that all that follows meets in one partitioning.
+    parts = [
+        tokens.groupBy("note").agg(
+            F.max(telling).alias("names"), F.max(indexed & ~common & ~wide).alias("anchor"), F.lit(True).alias("some"),
+            F.collect_set(F.when(lost, F.col("token"))).alias("lost"),
+        ),
+        _claims(found, files).groupBy("note").agg(
+            F.max(F.col("n") == 1).alias("anchored"), F.max((F.col("n") > 0) | F.col("unknown")).alias("cites"),
+            F.collect_set("ref").alias("claimed"), F.collect_set(F.when(F.col("unknown"), F.col("ref"))).alias("bad"),
+        ),
+    ]
     if symbols is not None:
-        lost = tokens.where(~indexed & ~common).select("note", F.col("token").alias("ref"))
-        unknown = unknown.union(lost.join(claims.select("note", "ref"), ["note", "ref"], "left_anti"))
-    unknown = unknown.distinct().join(
-        facts.select("note", (yes("anchor") | yes("anchored")).alias("vouched")), "note"
-    )
-    out = out.unionByName(
-        row(unknown.where("vouched"), "info", "unknown-symbols", F.concat(F.lit("not in the index: "), "ref"))
-    )
-    lone = unknown.where("not vouched").groupBy("note").agg(F.array_sort(F.collect_list("ref")).alias("refs"))
-    out = out.unionByName(
-        row(lone, "warning", "unknown-symbols", F.concat(F.lit("names unknown symbols: "), F.array_join("refs", ", ")))
-    )
+        cand = symbol_refs(notes, symbols, DEFAULT_MIN_LEN).join(known.where("not ubiquitous").select("name"), "name", "left_semi")
+        parts.append(cand.where(~F.lower("name").isin(*stop)).groupBy("note").agg(F.lit(True).alias("cand")))
     if titles is not None:
-        out = out.unionByName(row(duplicates(found, titles), "warning", "duplicate", F.concat(F.lit("possible duplicate of "), "of")))
-    out = out.unionByName(row(facts.where(~F.col("has_status")), "warning", "missing-status", F.lit("no STATUS heading")))
-    return out.unionByName(
-        row(facts.where(~F.col("has_severity")), "warning", "missing-severity", F.lit("no SEVERITY heading or tag"))
-    )
+        parts.append(duplicates(found, titles))
+    facts = found.select(F.col("id").alias("note"), "has_status", "has_severity")
+    for part in parts:
+        facts = facts.join(part.hint("merge"), "note", "left")  # they grow with the findings: never broadcast
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in facts.columns else F.lit(False)
+    list_ = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
+    issue = lambda level, code, detail: F.struct(F.lit(level).alias("level"), F.lit(code).alias("code"), detail.alias("detail"))
+    when = lambda test, *x: F.when(test, F.array(issue(*x)))
+    unknown = F.array_sort(F.array_union(list_("bad"), F.array_except(list_("lost"), list_("claimed"))))
+    facts = facts.withColumn("unknown", unknown)
+    vouched = yes("anchor") | yes("anchored")
+    issues = [
+        when(
+            ~yes("names") & ~yes("cand") & ~yes("cites"), "warning", "prose-only", F.when(yes("some"), COMMON_NAMES).otherwise(NO_NAMES)
+        ),
+        F.when(vouched, F.transform("unknown", lambda x: issue("info", "unknown-symbols", F.concat(F.lit("not in the index: "), x)))),
+        when(
+            ~vouched & (F.size("unknown") > 0), "warning", "unknown-symbols",
+            F.concat(F.lit("names unknown symbols: "), F.array_join("unknown", ", ")),
+        ),
+        when(F.col("of").isNotNull(), "warning", "duplicate", F.concat(F.lit("possible duplicate of "), "of")) if titles is not None else None,
+        when(~F.col("has_status"), "warning", "missing-status", F.lit("no STATUS heading")),
+        when(~F.col("has_severity"), "warning", "missing-severity", F.lit("no SEVERITY heading or tag")),
+    ]
+    none = F.array().cast("array<struct<level:string,code:string,detail:string>>")
+    every = F.concat(*[F.coalesce(x, none) for x in issues if x is not None])
+    return facts.select(F.col("note").alias("id"), F.explode(every).alias("x")).select("id", "x.level", "x.code", "x.detail")
 
 
 def duplicates(found: DataFrame, titles: DataFrame) -> DataFrame:

@@ -416,42 +416,38 @@ def register_vs_vault(spark, d):
 # -- lint ---------------------------------------------------------------------
 
 
-def _lint_parts(spark, d):
-    return O.table(spark, d, "part").where("p_partkey % 10 = 0")
-
-
 def _lint_findings(spark, d):
-    """Findings whose bodies are the notes' lines; every tenth names something that nobody defines."""
+    """Findings whose bodies are the notes' lines; every tenth names something that nobody defines, every seventh a rare name."""
     notes = _notes(spark, d)
     k = C.number_of(F.col("note"))
     head = F.concat(F.lit("## "), "note", F.lit(" — Trouble, again: case "), (k % 997).cast("string"), F.lit(" [LOW]\n\n"))
     lines = F.regexp_replace("body", r"(?s)\A.*?(?=- )", "")
     extra = F.when(k % 10 == 0, F.lit("- `missing_thing`\n")).otherwise("")
+    extra = F.concat(extra, F.when(k % 7 == 0, F.concat(F.lit("- `rare_"), k.cast("string"), F.lit("`\n"))).otherwise(""))
     status = F.when(k % 4 == 0, F.lit("### STATUS: OPEN\n")).otherwise("")
     text = F.concat(F.lit("\n"), head, lines, extra, status)
     return stored(N.findings(N.blocks(notes.select(F.col("note").alias("path"), text.alias("text")))), "lint")
 
 
 _LINT = """
-idx as (select name, count(distinct path) as paths from src0 group by name),
+idx as (select name, count(distinct path) as paths from p group by name union all select 'rare_' || pk, 1 from p),
 tok as (
   select distinct k, token, tail from (
     select k, unnest(case s when 1 then [typ || '.' || name, name] when 2 then [brand || '.' || typ || '.' || name, name, brand]
       when 4 then [name, brand] when 5 then [] else [name] end) as token,
       unnest(case s when 1 then [name, name] when 2 then [name, name, brand] when 4 then [name, brand] when 5 then [] else [name] end) as tail from li
-    union all select distinct k, 'missing_thing', 'missing_thing' from li where k % 10 = 0)
+    union all select distinct k, 'missing_thing', 'missing_thing' from li where k % 10 = 0
+    union all select distinct k, 'rare_' || k, 'rare_' || k from li where k % 7 = 0)
 ), seen as (
   select tok.*, idx.paths is not null as indexed, coalesce(idx.paths > 4, false) as wide from tok left join idx on idx.name = tok.tail
 ), facts as (
   select k, coalesce(bool_or(not wide), false) as names, coalesce(bool_or(indexed and not wide), false) as anchor, count(token) > 0 as named
   from (select distinct k from li) left join seen using (k) group by k
 )"""
-_SRC0 = "src0 as (select distinct name, path from p where pk % 10 = 0)"
 
 
 def _lint_sql(select: str) -> str:
-    base = O.sql("", "li").rstrip()
-    return f"{base},{_SRC0},{_LINT}\n{select}"
+    return O.sql("", "li").rstrip() + f",{_LINT}\n{select}"
 
 
 @query(_lint_sql("select 'RES-' || k as id, named as has_names from facts where not names"))
@@ -469,7 +465,12 @@ def lint_unknown(spark, d):
 
 
 def _sources_index(spark, d):
-    return I.from_sources(O.sources(_lint_parts(spark, d)))
+    """All parts' files, and files of rare names: one for each part, defined once."""
+    part = O.table(spark, d, "part")
+    rare = F.concat(F.lit("def rare_"), F.col("p_partkey").cast("string"), F.lit("(x):\n"))
+    path = F.concat(F.lit("src/rare/"), (F.col("p_partkey") % 50).cast("string"), F.lit(".py"))
+    files = part.groupBy(path.alias("path")).agg(F.array_join(F.array_sort(F.collect_list(rare)), "").cast("binary").alias("content"))
+    return stored(I.from_sources(O.sources(part).unionByName(files)), "index")
 
 
 @query("""
