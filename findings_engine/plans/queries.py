@@ -23,6 +23,7 @@ from . import corpus as O
 from . import health as H
 from . import incremental as X
 from . import render as D
+from . import reports as RP
 from .link import LinkOptions, decide, link, located
 from .tables import stored
 
@@ -598,9 +599,22 @@ def consult_topk(spark, d):
     return best.select("path", F.col("place").cast("long").alias("place"), "note", F.col("matches").cast("long").alias("matches"), "hidden")
 
 
-@query()
+@query(O.sql("", "anchors").rstrip() + """,
+hit as (
+  select path, k, count(*) as matches, string_agg(s, ', ' order by rank) as symbols from (
+    select path, k, name || ' (L' || line || ')' as s, rank from links union all select path, k, null, null from anchors) group by path, k
+), ranked as (
+  select *, count(*) over (partition by path) as total, row_number() over (partition by path order by k % 2, k % 4, -matches, 'RES-' || k) as place from hit
+), said as (
+  select path, 'Known findings about ' || path || ':' || chr(10) || string_agg(
+      '- RES-' || k || ' [' || case when k % 2 = 0 then 'open' else 'closed' end || '/' || ['critical', 'high', 'medium', 'low'][k % 4 + 1]
+        || '] RES-' || k || ' — ' || coalesce('symbols: ' || symbols, 'file: ' || path), chr(10) order by place)
+    || case when max(total) > 5 then chr(10) || 'and ' || (max(total) - 5) || ' more' else '' end as context
+  from ranked where place <= 5 group by path
+)
+select path, cast(to_json({'hookSpecificOutput': {'hookEventName': 'PostToolUse', 'additionalContext': context}}) as varchar) as json from said""")
 def consult_context(spark, d):
-    """The formatted answers for every file; consult_topk checks the ranking by SQL."""
+    """The formatted answers for every file that anything is known of."""
     done = _linked(spark, d)
     return K.hook_json(K.answer(_files(spark, d), K.known(done.links, done.anchors), K.heads(done.notes)))
 
@@ -613,10 +627,33 @@ def _edit_events(events: DataFrame) -> DataFrame:
     )
 
 
-@query()
+@query("""
+with recursive e as (
+  select cast(user_id as varchar) as session, event_id, event_type as kind, event_id % 17 = 0 as continuing,
+    row_number() over (partition by user_id order by ts, event_id) as n from events
+), s as (
+  select distinct session, cast(0 as bigint) as n, false as edited, false as grown, false as prompted, cast(null as bigint) as event_id, cast(null as varchar) as decision from e
+  union all
+  select e.session, e.n,
+    case e.kind when 'signup' then false when 'view' then true when 'click' then s.edited and not (not e.continuing and s.edited and s.grown) else s.edited end,
+    case e.kind when 'signup' then false when 'purchase' then s.grown or s.edited when 'click' then s.grown and not (not e.continuing and s.edited and s.grown) else s.grown end,
+    case e.kind when 'signup' then false when 'click' then not (not e.continuing and s.edited and s.grown) and (s.prompted or (not e.continuing and s.edited and not s.grown)) else s.prompted end,
+    e.event_id,
+    case when e.kind = 'click' then case when not e.continuing and s.edited and not s.grown and not s.prompted then 'block' else 'pass' end end
+  from s join e on e.session = s.session and e.n = s.n + 1
+)
+select session, event_id, decision from s where decision is not null""")
 def capture_sessions(spark, d):
-    """A decision for each stop. Rules on ordered state: tested against a plain loop."""
-    return S.capture(_edit_events(O.table(spark, d, "events")))
+    """A decision for each stop."""
+    return S.capture(_edit_events(O.table(spark, d, "events")), stored)
+
+
+@query("""
+select event_id, case when event_id % 5 < 2 then 'start' else 'other' end as kind from events where event_type = 'signup'""")
+def session_starts(spark, d):
+    """A session that is resumed or compacted goes on; one that starts or is cleared begins anew."""
+    source = F.element_at(F.array(*map(F.lit, ("startup", "clear", "resume", "compact", "other"))), (F.col("event_id") % 5 + 1).cast("int"))
+    return O.table(spark, d, "events").where("event_type = 'signup'").select("event_id", S.start_kind(source).alias("kind"))
 
 
 @query("""
@@ -632,28 +669,76 @@ def event_payloads(spark, d):
 # -- freshness ----------------------------------------------------------------
 
 
-_CASES = (
-    ("null", None, None, None, None),
-    ("{}", None, None, None, None),
-    ('{"a": "x.py:L1"}', None, None, None, None),
-    ('{"a": 1}', None, None, None, None),
-    ('{"symbols": []}', None, None, None, None),
-    ('{"symbols": {}}', None, None, None, None),
-    ('{"symbols": {}, "repository": {"fingerprint": "f"}}', "f", True, None, None),
-    ('{"symbols": {}, "repository": {"fingerprint": "f"}, "indexing": {"scope": {"kind": "all"}}}', "f", False, None, None),
-    ('{"symbols": {}, "repository": {"fingerprint": "f"}, "indexing": {"scope": {"kind": "all"}, "partial": true}}', "f", True, None, None),
-    ('{"symbols": {}, "repository": {"fingerprint": "f"}, "indexing": {"scope": {"kind": "all"}}}', "g", True, None, None),
-    ('{"symbols": {}, "repository": {"commit": "c"}}', None, None, None, None),
-    ('{"symbols": {}, "repository": {"commit": "c"}}', None, None, "d", False),
-    ('{"symbols": {}, "repository": {"commit": "c"}}', None, None, "c", True),
-    ('{"symbols": {}, "repository": {"commit": "c"}}', None, None, "c", False),
-)
+@query(O.sql("""
+select brand, case when b % 7 = 0 then 'unknown' when b % 11 = 0 then 'stale' when b % 5 in (0, 1) or (b % 5 = 2 and py) then 'stale' else 'fresh' end as status,
+  case when b % 7 = 0 then 'scope-cannot-be-rebuilt' when b % 11 = 0 then 'commit-mismatch'
+    when b % 5 in (0, 1) or (b % 5 = 2 and py) then 'fingerprint-mismatch' else 'fingerprint-match' end as reason,
+  b % 5 = 3 as partial,
+  case when b % 7 <> 0 and b % 11 <> 0 and b % 5 <> 3 and not (b % 5 in (0, 1) or (b % 5 = 2 and py)) then 0 else 1 end as exit_code
+from (select brand, cast(split_part(brand, '_', 2) as int) as b, bool_or(ext = 'py') as py from p group by brand)""", "p"))
+def freshness(spark, d):
+    """A repository for each brand, indexed and then changed: files edited, added or removed, a scope lost, another commit."""
+    brand = F.element_at(F.split("path", "/"), 2)
+    files = O.sources(O.table(spark, d, "part")).withColumn("brand", brand)
+    b = F.element_at(F.split("brand", "_"), 2).cast("int")
+    edited = F.when(b % 5 == 0, F.concat("content", F.lit("x").cast("binary"))).otherwise(F.col("content"))
+    added = files.select("brand").distinct().where(b % 5 == 1).select(
+        F.concat(F.lit("src/"), "brand", F.lit("/new.py")).alias("path"), F.lit("new").cast("binary").alias("content"), "brand"
+    )
+    now = files.where(~((b % 5 == 2) & F.endswith("path", F.lit(".py")))).withColumn("content", edited).unionByName(added)
+    was = I.tree_fingerprints(files, "brand").join(I.tree_fingerprints(now, "brand").select("brand", F.col("fingerprint").alias("now")), "brand", "left")
+    indexing = F.struct((b % 5 == 3).alias("partial"), F.struct(F.lit("extensions").alias("kind")).alias("scope"))
+    repository = F.struct(F.when(b % 11 != 0, F.col("fingerprint")).alias("fingerprint"), F.lit("c").alias("commit"))
+    index = F.to_json(F.struct(repository.alias("repository"), indexing.alias("indexing"), F.struct(F.lit(1).alias("x")).alias("symbols")))
+    rows = was.select(
+        "brand", index.alias("text"), F.when(b % 7 != 0, F.col("now")).alias("fingerprint_now"), (b % 7 != 0).alias("scope_known"),
+        F.lit("d").alias("commit_now"), F.lit(False).alias("dirty_now"),
+    )
+    # A scope that is not known and no fingerprint can't both be: the commit decides where there is no fingerprint.
+    rows = rows.where(~((b % 7 == 0) & (b % 11 == 0)))
+    return FR.gate(FR.verdict(rows), require_fresh=True).select("brand", "status", "reason", "partial", "exit_code")
 
 
-@query()
-def freshness(spark, d):
-    """The verdict on one index of each kind; golden rows are in the tests."""
-    rows = spark.createDataFrame(
-        [(i, *c) for i, c in enumerate(_CASES)], "case int, text string, fingerprint_now string, scope_known boolean, commit_now string, dirty_now boolean"
+# -- reports ------------------------------------------------------------------
+
+
+@query("""
+select (select count(*) from orders) as findings_checked,
+  (select count(*) filter (o_orderkey % 7 <> 0 and o_orderstatus <> 'F') + count(*) filter (o_orderkey % 7 <> 0 and o_orderpriority not in
+    ('1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW')) from orders) as warnings, cast(0 as bigint) as infos, 1 as exit_code""")
+def lint_totals(spark, d):
+    found = stored(_findings(spark, d), "found")
+    r = RP.lint_report(L.check(found).where(F.col("code").isin("missing-status", "missing-severity")), found)
+    return r.select("findings_checked", F.size("warnings").cast("long").alias("warnings"), F.size("infos").cast("long").alias("infos"), "exit_code")
+
+
+@query("""
+with n as (select distinct l_orderkey as k from lineitem)
+select (select count(*) from orders) as register_count,
+  (select count(*) from orders where not (o_orderkey % 2 = 0 and o_orderkey % 5 <> 0)) as missing, cast(0 as bigint) as extra,
+  'unknown' as freshness, (select count(*) from n) as notes, (select count(*) filter (k % 2 = 0) from n) as open,
+  (select count(*) filter (k % 4 = 0) from n) as open_high, (select min(k) filter (k % 4 = 0) from n) as first_high, 2 as problems, false as ok""")
+def status_report(spark, d):
+    ids = stored(_findings(spark, d).select("id"), "ids")
+    k = O.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.concat(F.lit("RES-"), F.col("o_orderkey").cast("string")).alias("id"))
+    compared = H.register_vs_vault(ids, k.where("k % 2 = 0"), k.where("k % 5 <> 0"))
+    notes = stored(K.heads(_notes(spark, d)), "heads")
+    facts = "fingerprint_now string, scope_known boolean, commit_now string, dirty_now boolean"
+    verdict = FR.verdict(spark.createDataFrame([('{"a": "x.py:L1"}', None, None, None, None)], f"text string, {facts}"))
+    links = notes.agg(F.count("*").alias("notes_recorded"))
+    missing = F.size("vault.missing_in_vault")
+    problems = F.filter(
+        F.array(
+            F.when(missing > 0, F.concat(F.lit("vault-behind-register: "), missing.cast("string"))),
+            F.when(F.col("index.freshness") == "unknown", F.concat(F.lit("index-freshness-unknown: "), F.get("index.reasons", F.lit(0)))),
+        ),
+        lambda x: x.isNotNull(),
     )
-    return FR.gate(FR.verdict(rows), require_fresh=True).select("case", "status", "reason", "partial", "exit_code")
+    long = lambda c: c.cast("long")
+    r = RP.status_report(ids, notes, compared, verdict, links, problems).select("report.*")
+    return r.select(
+        F.col("register.count").alias("register_count"), long(missing).alias("missing"), long(F.size("vault.extra_in_vault")).alias("extra"),
+        "index.freshness", F.col("links.notes_recorded").alias("notes"), F.try_element_at("findings.by_status", F.lit("open")).alias("open"),
+        long(F.size("findings.open_high")).alias("open_high"), C.number_of(F.get("findings.open_high", F.lit(0))["id"]).alias("first_high"),
+        F.size("problems").alias("problems"), "ok",
+    )

@@ -6,8 +6,10 @@ unique by (name, path, line), where two unknown lines are equal.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,20 +103,58 @@ def from_index(texts: DataFrame) -> DataFrame:
     )
 
 
-def first_non_empty(candidates: list[tuple[str, DataFrame]]) -> tuple[str, DataFrame | None]:
-    """The first backend that has any definition; only it is read further."""
-    for name, rows in candidates:
-        if not rows.isEmpty():
-            return name, rows
-    return "none", None
+def first_non_empty(backends: list[tuple[str, Callable[[], tuple[DataFrame, str | None]]]]) -> tuple[str, DataFrame | None, list[str]]:
+    """The first backend that has any definition, its rows, and the notes of all that were asked.
+
+    A backend gives (symbol_def, note): a note tells of a failure or of what it
+    left out, and is kept even where it has definitions. One that raises has none.
+    """
+    notes: list[str] = []
+    for name, ask in backends:
+        try:
+            rows, note = ask()
+            empty = rows.isEmpty()
+        except Exception as e:  # noqa: BLE001 - another backend may still answer
+            notes.append(f"{name}: {type(e).__name__}")
+            continue
+        if note:
+            notes.append(f"{name}: {note}")
+        if not empty:
+            return name, rows, notes
+    return "none", None, notes
+
+
+def _records(files: DataFrame) -> Column:
+    return F.concat("path", F.lit("\0"), F.sha2("content", 256), F.lit("\n"))
 
 
 def tree_fingerprint(files: DataFrame) -> DataFrame:
-    """One row: fingerprint, files. A digest of the sorted records ``path NUL sha256 LF``."""
-    record = F.concat("path", F.lit("\0"), F.sha2("content", 256), F.lit("\n"))
-    return files.select(record.alias("r")).agg(
-        C.sha(F.array_join(F.sort_array(F.collect_list("r")), "")).alias("fingerprint"), F.count("*").alias("files")
-    )
+    """One row: fingerprint, files. A digest of the sorted records ``path NUL sha256 LF``; unreadable files have none.
+
+    Contents are hashed where they are. The digest over the records is one chain
+    by definition, so they go to one task, but sorted on disk and streamed through
+    it: a record is about a hundred bytes and none is kept.
+    """
+    schema = pa.schema([("fingerprint", pa.string()), ("files", pa.int64())])
+
+    def run(batches):
+        import hashlib
+
+        h, n = hashlib.sha256(), 0
+        for b in batches:
+            for r in b.column("r").to_pylist():
+                h.update(r.encode())
+                n += 1
+        yield pa.RecordBatch.from_pylist([{"fingerprint": "sha256:" + h.hexdigest(), "files": n}], schema)
+
+    records = files.select(_records(files).alias("r")).where("r is not null")
+    return records.repartition(1).sortWithinPartitions("r").mapInArrow(run, "fingerprint string, files bigint")
+
+
+def tree_fingerprints(files: DataFrame, *keys: str) -> DataFrame:
+    """The same for many small trees at once: keys, fingerprint, files; a tree's records are held together."""
+    every = F.collect_list(_records(files))
+    return files.groupBy(*keys).agg(C.sha(F.array_join(F.sort_array(every), "")).alias("fingerprint"), F.count("content").alias("files"))
 
 
 def write_index(symbols: DataFrame, path: str) -> None:
@@ -131,7 +171,16 @@ def index_json(symbols: DataFrame, meta: dict[str, Column] | None = None) -> Dat
 
 
 def read_sources(spark: SparkSession, root: str, max_files: int = MAX_FILES) -> DataFrame:
+    """(path, content) of at most max_files source files; ``scan_note`` says whether there are more."""
     from .tree import register
 
     register(spark)
     return spark.read.format("source_tree").option("extensions", ",".join(rx.DEFINITIONS)).option("maxFiles", max_files).load(root)
+
+
+def scan_note(root: str, max_files: int = MAX_FILES) -> str | None:
+    """What a scan of the tree leaves out, None if nothing: an index of it is partial."""
+    from .tree import count_files
+
+    more = count_files(root, frozenset(rx.DEFINITIONS), max_files) > max_files
+    return f"max-files-reached at {max_files}" if more else None

@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import os
 import subprocess
+import sys
 from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -21,12 +23,15 @@ from ..functions.rx import SKIP_DIRS
 FILES_PER_TASK = 500
 
 
-def listed(root: str, extensions: frozenset[str] | None, excluded: frozenset[str], vault: str | None, max_files: int) -> list[str]:
-    """Relative paths in code-point order; symbolic links that leave the root are left out."""
-    root, out = os.path.realpath(root), []
+def walked(
+    root: str, extensions: frozenset[str] | None, excluded: frozenset[str], vault: str | None, skip: frozenset[str] = frozenset()
+) -> Iterator[str]:
+    """Relative paths as the walk comes to them; symbolic links that leave the root are left out."""
+    root = os.path.realpath(root)
+    skip = skip | set(SKIP_DIRS)
     vault = os.path.realpath(vault) if vault else None
     for here, dirs, files in os.walk(root):
-        dirs[:] = sorted(d for d in dirs if d not in SKIP_DIRS and not d.startswith("."))
+        dirs[:] = sorted(d for d in dirs if d not in skip and not d.startswith("."))
         if vault and (here == vault or here.startswith(vault + os.sep)):
             dirs[:] = []
             continue
@@ -35,10 +40,19 @@ def listed(root: str, extensions: frozenset[str] | None, excluded: frozenset[str
             full = os.path.join(here, name)
             rel = os.path.relpath(full, root).replace(os.sep, "/")
             if (extensions is None or ext in extensions) and rel not in excluded and os.path.realpath(full).startswith(root + os.sep):
-                out.append(rel)
-                if len(out) >= max_files:
-                    return sorted(out)
-    return sorted(out)
+                yield rel
+
+
+def listed(
+    root: str, extensions: frozenset[str] | None, excluded: frozenset[str], vault: str | None, max_files: int, skip: frozenset[str] = frozenset()
+) -> list[str]:
+    """The first max_files of the walk, in code-point order."""
+    return sorted(islice(walked(root, extensions, excluded, vault, skip), max_files))
+
+
+def count_files(root: str, extensions: frozenset[str] | None, limit: int, skip: frozenset[str] = frozenset()) -> int:
+    """How many files a scan would read; the walk ends at limit + 1, which says: more."""
+    return sum(1 for _ in islice(walked(root, extensions, frozenset(), None, skip), limit + 1))
 
 
 class _Files(InputPartition):
@@ -55,10 +69,11 @@ class _Reader(DataSourceReader):
         self.excluded = frozenset(x for x in options.get("exclude", "").split(",") if x)
         self.vault = options.get("vault")
         self.contents = options.get("contents", "true") == "true"
-        self.max_files = int(options.get("maxFiles", 1 << 62))
+        self.max_files = int(options.get("maxFiles", sys.maxsize))
+        self.skip = frozenset(x for x in options.get("skip", "").split(",") if x)
 
     def partitions(self):
-        paths = listed(self.root, self.extensions, self.excluded, self.vault, self.max_files)
+        paths = listed(self.root, self.extensions, self.excluded, self.vault, self.max_files, self.skip)
         return [_Files(paths[i : i + FILES_PER_TASK]) for i in range(0, len(paths), FILES_PER_TASK)] or [_Files([])]
 
     def read(self, partition: _Files) -> Iterator[tuple]:
@@ -74,7 +89,7 @@ class _Reader(DataSourceReader):
 
 
 class SourceTree(DataSource):
-    """Options: extensions, exclude (relative paths), vault, contents, maxFiles."""
+    """Options: extensions, exclude (relative paths), skip (names of directories), vault, contents, maxFiles."""
 
     @classmethod
     def name(cls) -> str:

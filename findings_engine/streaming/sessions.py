@@ -11,7 +11,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -66,22 +67,74 @@ def capture_stream(events: DataFrame) -> DataFrame:
     return events.groupBy("session").applyInPandasWithState(step, DECISION, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def capture(events: DataFrame) -> DataFrame:
-    """The same over a finished table: sorted by session and time, and streamed through the rule, so no session is ever held whole."""
+STATES = [(a, b, c) for a in (False, True) for b in (False, True) for c in (False, True)]
+_PART = "session string, event_id bigint, decision string, options string, part int, last boolean"
+
+
+def _run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A part's decisions; of its first session, which an earlier part may have begun, one for each of its eight states."""
+    part = TaskContext.get().partitionId()
+    session, head, states = None, True, list(range(len(STATES)))
+    for rows in batches:
+        out = []
+        for s, event_id, kind, continuing in rows[["session", "event_id", "kind", "continuing"]].itertuples(index=False):
+            if session is None:
+                session = s
+            elif s != session:
+                session, head, states = s, False, [0]
+            turns = [fold(STATES[x], kind, bool(continuing)) for x in states]
+            states = [STATES.index(x) for x, _ in turns]
+            if turns[0][1]:
+                options = "".join(d[0] for _, d in turns) if head else None  # b or p for each state
+                out.append((s, event_id, None if head else turns[0][1], options, part, False))
+        yield pd.DataFrame(out, columns=["session", "event_id", "decision", "options", "part", "last"])
+    if session is not None:  # where the part's last session stands, for each state that it may have begun in
+        ends = "".join(map(str, states if head else states * len(STATES)))
+        yield pd.DataFrame([(session, 1 if head else 0, None, ends, part, True)], columns=["session", "event_id", "decision", "options", "part", "last"])
+
+
+def capture(events: DataFrame, store: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """The same over a finished table: a decision for each stop.
+
+    A cycle ends at a stop whose effect depends on where the last one ended, so
+    window sums can't tell the state. But the rule has eight states, and what a run
+    of events does to them can be composed: rows are dealt by range of (session,
+    time), so a hot session is split; each part folds its own run, the first
+    session's from all eight states; then parts are put together by a row each.
+    ``store`` writes a table and reads it back.
+    """
+    dealt = events.repartitionByRange("session", "ts", "event_id").sortWithinPartitions("session", "ts", "event_id")
+    rows = store(dealt.mapInPandas(_run, _PART), "capture")
+    begin, session, state = {}, None, 0
+    for r in sorted(rows.where("last").collect(), key=lambda r: r.part):  # a row a part
+        whole = r.event_id == 1  # the part has one session
+        begin[r.part] = (session, state)
+        state = int(r.options[state if whole and session == r.session else 0])
+        session = r.session
+    starts = rows.sparkSession.createDataFrame([(k, s, i) for k, (s, i) in begin.items()], "part int, before string, state int")
+    asked = rows.where("not last").join(F.broadcast(starts), "part")
+    at = F.when(F.col("before") == F.col("session"), F.col("state")).otherwise(0)
+    open_ = F.when(F.substr("options", at + 1, F.lit(1)) == "b", "block").otherwise("pass")
+    return asked.select("session", "event_id", F.coalesce("decision", open_).alias("decision"))
+
+
+#: A session starts anew at these sources of a start event; one that is resumed or compacted goes on.
+CLEARING = ("startup", "clear")
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        session, state = None, FRESH
-        for rows in batches:
-            out = []
-            for s, event_id, kind, continuing in rows[["session", "event_id", "kind", "continuing"]].itertuples(index=False):
-                if s != session:
-                    session, state = s, FRESH
-                state, decision = fold(state, kind, bool(continuing))
-                if decision:
-                    out.append((s, event_id, decision))
-            yield pd.DataFrame(out, columns=["session", "event_id", "decision"])
+def start_kind(source: Column) -> Column:
+    """The kind of a start event by its source."""
+    return F.when(source.isin(*CLEARING), START).otherwise("other")
 
-    return events.repartition("session").sortWithinPartitions("session", "ts", "event_id").mapInPandas(run, DECISION)
+
+def growth(stops: DataFrame, baselines: DataFrame) -> DataFrame:
+    """stops (session, ts, register_sha: null if there is no register) that show growth since the session's baseline.
+
+    baselines (session, exists, sha256) are frozen at a session's first edit. Only
+    proof counts: a register that wasn't there and is, or whose digest is another.
+    """
+    both = stops.join(baselines, "session")
+    return both.where(F.col("register_sha").isNotNull() & (~F.col("exists") | (F.col("sha256") != F.col("register_sha")))).select(*stops.columns)
 
 
 def refresh_on(events: DataFrame, refresh: Callable[[DataFrame, int], None], checkpoint: str):

@@ -35,9 +35,20 @@ def _plain(rows):
 
 
 def test_batch_equals_a_plain_loop(spark):
-    rows = _events()
-    got = {tuple(r) for r in S.capture(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert got == _plain(rows) and any(x[2] == "block" for x in got)
+    from findings_engine.plans.tables import stored
+
+    # Few sessions and as many tasks: parts begin within a session, and some hold nothing but one.
+    for seed, sessions in ((3, 5), (4, 1), (5, 2)):
+        rows = [(f"s{hash(r[0]) % sessions}", *r[1:]) for r in _events(seed)]
+        got = {tuple(r) for r in S.capture(spark.createDataFrame(rows, SCHEMA), stored).collect()}
+        assert got == _plain(rows) and any(x[2] == "block" for x in got)
+    assert S.capture(spark.createDataFrame([], SCHEMA), stored).count() == 0
+
+
+def test_growth_needs_proof(spark):
+    stops = spark.createDataFrame([("a", 1, "x"), ("b", 1, "x"), ("c", 1, "x"), ("d", 1, None), ("e", 1, "x")], "session string, ts int, register_sha string")
+    base = spark.createDataFrame([("a", True, "x"), ("b", True, "y"), ("c", False, None), ("d", False, None)], "session string, exists boolean, sha256 string")
+    assert {r.session for r in S.growth(stops, base).collect()} == {"b", "c"}
 
 
 def test_stream_equals_batch(spark, tmp_path):

@@ -40,8 +40,30 @@ def test_line_numbers(spark):
     assert got == [88] * len(good) + [None] * len(bad)
 
 
-def test_freshness_table(spark, sf):
-    got = [(r.status, r.reason, r.partial, r.exit_code) for r in Q.freshness(spark, sf).orderBy("case").collect()]
+CASES = (
+    ("null", None, None, None, None),
+    ("{}", None, None, None, None),
+    ('{"a": "x.py:L1"}', None, None, None, None),
+    ('{"a": 1}', None, None, None, None),
+    ('{"symbols": []}', None, None, None, None),
+    ('{"symbols": {}}', None, None, None, None),
+    ('{"symbols": {}, "repository": {"fingerprint": "f"}}', "f", True, None, None),
+    ('{"symbols": {}, "repository": {"fingerprint": "f"}, "indexing": {"scope": {"kind": "all"}}}', "f", False, None, None),
+    ('{"symbols": {}, "repository": {"fingerprint": "f"}, "indexing": {"scope": {"kind": "all"}, "partial": true}}', "f", True, None, None),
+    ('{"symbols": {}, "repository": {"fingerprint": "f"}, "indexing": {"scope": {"kind": "all"}}}', "g", True, None, None),
+    ('{"symbols": {}, "repository": {"commit": "c"}}', None, None, None, None),
+    ('{"symbols": {}, "repository": {"commit": "c"}}', None, None, "d", False),
+    ('{"symbols": {}, "repository": {"commit": "c"}}', None, None, "c", True),
+    ('{"symbols": {}, "repository": {"commit": "c"}}', None, None, "c", False),
+)
+
+
+def test_freshness_table(spark):
+    rows = spark.createDataFrame(
+        [(i, *c) for i, c in enumerate(CASES)], "case int, text string, fingerprint_now string, scope_known boolean, commit_now string, dirty_now boolean"
+    )
+    judged = FR.gate(FR.verdict(rows), require_fresh=True)
+    got = [(r.status, r.reason, r.partial, r.exit_code) for r in judged.orderBy("case").collect()]
     assert [x[:2] for x in got] == [
         ("invalid", "not-a-symbol-index"), ("invalid", "not-a-symbol-index"), ("unknown", "legacy-index-without-provenance"),
         ("invalid", "not-a-symbol-index"), ("invalid", "symbols-not-a-mapping"), ("unknown", "legacy-index-without-provenance"),
@@ -50,7 +72,6 @@ def test_freshness_table(spark, sf):
         ("stale", "working-tree-modified"), ("unknown", "commit-match-without-fingerprint"),
     ]
     assert got[8][2:] == (True, 1) and got[0][3] == 2
-    assert FR.gate is not None
 
 
 def test_gate_takes_only_true(spark):
