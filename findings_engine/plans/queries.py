@@ -361,29 +361,41 @@ def link_metrics(spark, d):
 
 
 @query(O.sql("""
-select note, length('<!-- findings:code:start -->' || chr(10) || '## Linked code' || chr(10) || chr(10))
-  + sum(length(l)) + count(*) - 1 + length(chr(10) || '<!-- findings:code:end -->' || chr(10) || chr(10)) as block_chars,
-  count(*) as lines from (
-  select note, '- `' || name || '` — ' || path || ':L' || line as l from links union all select note, '- `' || path || '`' from anchors) group by note""", "anchors"))
+select note, '<!-- findings:code:start -->' || chr(10) || '## Linked code' || chr(10) || chr(10) || string_agg(l, chr(10) order by o, rank)
+  || chr(10) || '<!-- findings:code:end -->' || chr(10) || chr(10) as block from (
+  select note, 0 as o, rank, '- `' || name || '` — ' || path || ':L' || line as l from links
+  union all select note, 1, rank, '- `' || path || '`' from anchors) group by note""", "anchors"))
 def managed_block(spark, d):
     done = _linked(spark, d)
-    b = D.block(done.links, done.anchors)
-    return b.select("note", F.length("block").cast("long").alias("block_chars"), (F.size(F.split("block", "\n- ")) - 1).cast("long").alias("lines"))
+    return D.block(done.links, done.anchors)
 
 
 @query(O.sql("""
-select 1 as section, cast(-count(distinct note) as bigint) as at1, name as at2 from links group by name
-union all select 2, -count(distinct note), path from anchors group by path
-union all select 3, -count(distinct note), name from links group by name having count(distinct note) >= 2
-union all select 4, -count(distinct (note, name)), path from links group by path having count(distinct (note, name)) >= 2
-union all select distinct 5, -1, name from dec where path is null
-union all select distinct 5, 0, ref from fres where n > 1""", "anchors"))
+by_name as (
+  select name, count(distinct note) as n, '[[' || replace(string_agg(distinct note, ' ' order by note), ' ', ']] [[') || ']]' as notes,
+    min(path || ':L' || line) as location from links group by name
+), by_anchor as (
+  select path, count(distinct note) as n, '[[' || replace(string_agg(distinct note, ' ' order by note), ' ', ']] [[') || ']]' as notes from anchors group by path
+), by_path as (
+  select path, count(distinct name) as names, count(distinct (note, name)) as n from links group by path
+), amb as (
+  select 1 as symbol, name as ref, note from dec where path is null union all select 0, ref, 'RES-' || k from fres where n > 1
+), places as (
+  select 1 as symbol, name as ref, string_agg(path || ':L' || line, chr(10) || '- ' order by path, line) as places from defs group by name
+  union all select 0, ref, replace(any_value(matches), ' ', chr(10) || '- ') from fres where n > 1 group by ref
+)
+select 1 as section, cast(-n as bigint) as at1, name as at2, '| `' || name || '` | ' || location || ' | ' || notes || ' |' as line from by_name
+union all select 2, -n, path, '| ' || path || ' | ' || notes || ' |' from by_anchor
+union all select 3, -n, name, '| `' || name || '` | ' || location || ' | ' || notes || ' | ' || n || ' |' from by_name where n >= 2
+union all select 4, -n, path, '| ' || path || ' | ' || names || ' | ' || n || ' |' from by_path where n >= 2
+union all select 5, -symbol, ref, '### `' || ref || '`' || chr(10) || chr(10) || 'Referenced by: '
+    || '[[' || replace(string_agg(distinct note, ' ' order by note), ' ', ']] [[') || ']]' || chr(10) || chr(10) || 'Candidates:' || chr(10) || chr(10) || '- ' || any_value(places)
+  from amb join places using (symbol, ref) group by symbol, ref""", "anchors").replace("\nby_name as", ",\nby_name as"))
 def code_index(spark, d):
     done = _linked(spark, d)
-    lines = D.code_index_lines(
+    return D.code_index_lines(
         U.reverse_index(done.links), U.anchored_files(done.anchors), U.symbol_hotspots(done.links), U.file_hotspots(done.links), done.ambiguous_refs()
     )
-    return lines.select("section", "at1", "at2")
 
 
 # -- vault maintenance --------------------------------------------------------
@@ -539,15 +551,28 @@ def skip_proof(spark, d):
     return notes.select("note").join(skipped.withColumn("skipped", F.lit(True)), "note", "left").select("note", F.coalesce("skipped", F.lit(False)).alias("skipped"))
 
 
-@query(O.sql("select note, name, path, line, rank from links", "links"))
+@query(O.sql("""
+select note, 'link' as kind, name as ref, path as target, cast(rank as bigint) as rank, reason from links
+union all select note, 'anchor', path, path, rank, null from anchors
+union all select 'RES-' || k, 'withheld symbol', name, null, null, reason from dec where path is null
+union all select 'RES-' || k, 'withheld file', ref, null, null, 'file-suffix' from fres where n > 1""", "anchors"))
 def relink_incremental(spark, d):
-    """What an incremental pass leaves equals a full one."""
+    """What an incremental pass leaves equals a full one: links, anchors and what is withheld."""
     notes, files = stored(_notes(spark, d), "notes"), _files(spark, d)
     old, new = stored(_old_symbols(spark, d), "old"), stored(_symbols(spark, d), "new")
     options = LinkOptions()
     first = link(notes, old, files, options)
     done, _ = X.relink(notes, new, files, X.state_of(first, old, options), first.decisions, options)
-    return done.links.select("note", "name", "path", F.col("line").cast("long").alias("line"), F.col("rank").cast("long").alias("rank"))
+    row = lambda df, kind, ref, target, rank, reason: df.select(
+        "note", kind.alias("kind"), F.col(ref).alias("ref"), target.cast("string").alias("target"), rank.cast("long").alias("rank"),
+        reason.cast("string").alias("reason"),
+    )
+    none = F.lit(None)
+    return (
+        row(done.links, F.lit("link"), "name", F.col("path"), F.col("rank"), F.col("reason"))
+        .unionByName(row(done.anchors, F.lit("anchor"), "path", F.col("path"), F.col("rank"), none))
+        .unionByName(row(done.withheld, F.concat(F.lit("withheld "), "kind"), "ref", none, none, F.col("reason")))
+    )
 
 
 @query("""
