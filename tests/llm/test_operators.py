@@ -561,6 +561,18 @@ def test_chat_reads_back(spark):
     assert chat.format_conversations(t.limit(0).select("conv_id", "turn", "role", chat.text_parts(F.col("text")).alias("parts"))).count() == 0
 
 
+def test_chat_long_texts_ties_and_clashing_columns(spark):
+    long = "</s>[INST] word " * 40_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long), (2, 0, "assistant", "same"), (2, 0, "assistant", "same")]
+    names = ("segments", "attachments", "loss_mask", "formatted", "content", "start", "segment", "turns")
+    t = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").select(
+        "*", chat.text_parts(F.col("text")).alias("parts"), *[F.lit(7).alias(x) for x in names]
+    )
+    back = {r.conv_id: r for r in chat.read_back(chat.format_conversations(t)).collect()}
+    assert back[1].loss_text == long and [x.text for x in back[1].turns] == [long, long]
+    assert back[2].loss_text == "samesame" and len(back[2].turns) == 2
+
+
 def test_chat_parts(spark):
     part = lambda **k: {"type": None, "text": None, "ref": None, "width": None, "height": None, "seconds": None, "pages": None} | k
     parts = [part(type="text", text="see"), part(type="image", ref="i.png", width=57, height=28), part(type="audio", ref="a", seconds=2.0), part(type="document", ref="d", pages=2), part(type="odd", ref="o")]
@@ -584,6 +596,41 @@ def test_pipeline_keeps_what_it_should(spark, tmp_path):
     assert {r.doc_id for r in last(spark, kept, sf).select("doc_id").collect()} == {r.doc_id for r in kept.select("doc_id").collect()}
 
 
+def test_pipeline_stages_on_awkward_tables(spark, docs, empty, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, clashing columns, and tables without rows."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(60)] + [(None, None, None), (1, None, 1)], "doc_id bigint, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    every = sorted(map(str, docs.collect()))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns, name
+        rows = sorted(map(str, got.collect()))
+        assert set(rows) <= set(every) and len(rows) <= len(every)
+        again = sorted(map(str, stage(spark, docs, str(tmp_path)).collect()))
+        assert rows == again, name
+        none = stage(spark, empty, str(tmp_path))
+        assert none.columns == empty.columns and none.count() == 0
+    _, packing_stage = corpus_pipeline.STAGES[-1]
+    pieces = packing_stage(spark, docs, str(tmp_path)).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    ids = _library(WORDS)
+    want = {}
+    for i, t in _texts():
+        want[i] = want.get(i, 0) + len(ids(t)) + 1
+    assert {r.doc_id: r.n for r in pieces} == want
+    assert packing_stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_dedup_keeps_the_smallest_of_ties(spark):
+    """Of equal texts the smallest id stays, a missing id last; of a repeated row one; other columns stay with their row."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    long = " ".join(f"w{i}" for i in range(200))
+    rows = [(9, long, "a"), (4, long, "b"), (4, long, "b"), (None, long, "c"), (7, long + " tail", "d"), (None, "lone", "e"), (None, "lone", "e"), (3, "", "f"), (2, None, "g")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(4)
+    got = sorted(((r.doc_id, r.source) for r in corpus_pipeline.dedup_stage(spark, df, "").collect()), key=str)
+    assert got == sorted([(4, "b"), (None, "e"), (2, "g")], key=str)
+
+
 def _near_texts():
     """Chains, edits, containment, copies, hot passages, short and empty texts."""
     r = np.random.default_rng(7)
