@@ -45,7 +45,7 @@ from .encoding import KEY, KeyTable, distinct_keys, keys_of, vocabulary_path
 
 SAMPLES, SEED, RANK_SHIFT, BYTE_LOG = 2, 20, 30.0, -14.0
 MARK = "▁"
-SLICE_CHARS, LATTICE_NODES = 1_200_000, 2 << 20
+SLICE_CHARS, LATTICE_NODES = 1_200_000, 3 << 20
 ROW = (
     "doc_id bigint, sample int, n_pieces bigint, ids_crc32 bigint, log_prob double, perturbed double,"
     " inclusion double, decodes boolean"
@@ -145,16 +145,17 @@ class Vocabulary:
 
 
 class Lattices:
-    """Arcs of all chunks seen; nodes are numbered through, and a node's arcs stand together, likeliest first."""
+    """Arcs of all chunks seen; nodes are numbered through, and a node's arcs stand together, the longest first."""
 
     def __init__(self, v: Vocabulary):
         self.v = v
         self.start, self.end = np.empty(0, np.int64), np.empty(0, np.int64)  # nodes of a chunk
         self.table = KeyTable(LATTICE_NODES)
         self.nodes = self.arcs = 0
-        self.first = np.zeros(1 << 16, np.int32)
-        self.frm, self.to, self.id = (np.zeros(1 << 16, np.int32) for _ in range(3))
-        self.lp, self.cum = np.zeros(1 << 16), np.zeros(1 << 16)
+        # Pages that nothing has been written to take no memory.
+        self.first = np.zeros(LATTICE_NODES + (1 << 20), np.int32)
+        self.frm, self.to, self.id = (np.zeros(3 * LATTICE_NODES, np.int32) for _ in range(3))
+        self.lp, self.cum = np.zeros(3 * LATTICE_NODES), np.zeros(3 * LATTICE_NODES)
 
     def numbered(self, raws: list[bytes]) -> np.ndarray:
         """The chunks of all these texts (chunks_of, joined by spaces) by number; new ones get their lattices."""
@@ -216,18 +217,28 @@ class Lattices:
                 froms.append(node[miss])
                 tos.append(node[miss] + 1)
                 ids.append(np.where(c < 128, v.byte_id[np.minimum(c, 127)], -c))
-        frm, to, id_ = map(np.concatenate, (froms, tos, ids))
-        order = np.argsort(frm.astype(np.int32), kind="stable")
-        frm, to, id_ = frm[order], to[order], id_[order]
+        # A node's arcs together, without a sort: a place is the sum of what comes before. The longest first,
+        # mostly the likeliest, so that a walk looks at few arcs.
+        total = int(end[-1]) + 1
+        width = np.zeros(total, np.int64)
+        for f in froms:
+            width[f] += 1
+        first = np.append(0, np.cumsum(width))
+        fill = first[:-1].copy()
+        frm, to, id_ = (np.empty(int(first[-1]), np.int64) for _ in range(3))
+        for f, t, i in zip(froms[::-1], tos[::-1], ids[::-1], strict=True):
+            place = fill[f]
+            frm[place], to[place], id_[place] = f, t, i
+            fill[f] = place + 1
         log = np.where(id_ >= 0, v.log[np.maximum(id_, 0)], 0.0)
         many = np.flatnonzero(id_ < 0)
         log[many] = BYTE_LOG * (2 + (id_[many] <= -0x800).astype(int) + (id_[many] <= -0x10000))
-        total = int(end[-1]) + 1
         beta = np.zeros(total)
-        far = np.zeros(total, np.int32)
+        far = np.zeros(total, np.uint16 if n.max() < 1 << 16 else np.int64)  # the short one sorts by radix
         far[node] = left
-        by = np.argsort(far[frm], kind="stable")
-        edges = np.searchsorted(far[frm][by], np.arange(1, int(n.max()) + 2))
+        far = far[frm]
+        by = np.argsort(far, kind="stable")
+        edges = np.searchsorted(far[by], np.arange(1, int(n.max()) + 2))
         for a, b in zip(edges[:-1], edges[1:], strict=True):  # from the chunks' ends, all chunks at once
             e = by[a:b]
             if not len(e):
@@ -238,19 +249,17 @@ class Lattices:
             spread = np.exp(x - np.repeat(top, np.diff(np.append(heads, len(e)))))
             beta[frm[e[heads]]] = top + np.log(np.add.reduceat(spread, heads))
         lp = np.minimum(log + beta[to] - beta[frm], 0.0)
-        heads = np.flatnonzero(np.diff(frm, prepend=-1))
-        width = np.diff(np.append(heads, len(frm)))
-        lp[np.repeat(width == 1, width)] = 0.0
-        # Likeliest first: a walk then looks at few arcs. Equal ones stay in their pieces' order.
+        width = width[width > 0]
+        heads = np.cumsum(width) - width
+        lp[heads[width == 1]] = 0.0
         p = np.exp(lp)
-        order = np.argsort(frm - p * 0.5, kind="stable")
-        to, id_, lp, p = to[order], id_[order], lp[order], p[order]
         sums = np.cumsum(p)
         cum = sums - np.repeat(sums[heads] - p[heads], width)
         cum[heads + width - 1] = 1.0
-        self._append(start, end, frm, to, id_, lp, np.minimum(cum, 1.0), total)
+        self._append(start, end, first, frm, to, id_, lp, np.minimum(cum, 1.0))
 
-    def _append(self, start, end, frm, to, id_, lp, cum, total: int) -> None:
+    def _append(self, start, end, first, frm, to, id_, lp, cum) -> None:
+        total = len(first) - 1
         while self.nodes + total + 1 > len(self.first):
             self.first = np.concatenate([self.first, np.zeros_like(self.first)])
         while self.arcs + len(frm) > len(self.frm):
@@ -259,7 +268,7 @@ class Lattices:
                 setattr(self, name, np.concatenate([x, np.zeros_like(x)]))
         arcs = slice(self.arcs, self.arcs + len(frm))
         self.frm[arcs], self.to[arcs], self.id[arcs], self.lp[arcs], self.cum[arcs] = frm + self.nodes, to + self.nodes, id_, lp, cum
-        self.first[self.nodes : self.nodes + total + 1] = self.arcs + np.searchsorted(frm, np.arange(total + 1))
+        self.first[self.nodes : self.nodes + total + 1] = self.arcs + first
         self.start, self.end = np.append(self.start, start + self.nodes), np.append(self.end, end + self.nodes)
         self.nodes += total
         self.arcs += len(frm)
