@@ -5,13 +5,17 @@ in simhash_dedup) share 4/5 of their union or more; components of links are grou
 
 1. Equal sets fold into one node before anything else moves.
 2. Candidates by prefix filter. Linked sets share 4/5 of the larger one at least,
-   so under any common order of all shingles the first n - ceil(4n/5) + 1 of each
-   hold a common one. The order is rare first, by counts in a sample of at most
-   about SAMPLE texts, then by hash: the sample decides the cost, never the result.
-3. Sets with a common shingle and sizes within 4/5 join a candidate group: sorted
-   by size, every chain of neighbours within 4/5 holds all such pairs.
-4. Groups are cut into chunks of about CHUNK nodes, and a task compares all pairs of
-   two chunks and emits a spanning forest of its links, never the pairs. Within a
+   so under any common order of all shingles the first n - ceil(4n/5) + k of each
+   hold the first k common ones. The order is rare first, by counts in a sample of at
+   most about SAMPLE texts, then by hash: the sample decides the cost, never the result.
+3. Two sets are candidates if their prefixes share ``need`` shingles, more for larger
+   sets, at places that leave enough for a link: large texts of a large corpus share
+   one or two by chance, and groups by one would grow together. A shingle with over
+   DENSE pairs a set, as in large groups of near copies, lists no pairs: sorted by
+   size, its sets are chained, and every chain of neighbours within 4/5 holds all pairs.
+4. Groups are cut into chunks of about CHUNK nodes (for sketches at most WIDE, and no
+   more than 32 chunks up to that), and a task compares all pairs of two chunks and
+   emits a spanning forest of its links, never the pairs. Within a
    group work is quadratic. First by sketches, counts of shingles in CELLS cells:
    linked sets differ in at most a ninth of their sizes' sum, and their sketches in
    no more, so only pairs that can't be linked go. Then what is still together is
@@ -34,6 +38,7 @@ from .simhash_dedup import components, shingle_hashes, signed, union
 
 SHINGLE = 5
 SAMPLE, FREQUENT, CHUNK, COLUMNS, CELLS = 1 << 16, 1 << 18, 512, 4096, 256
+DENSE, LISTED, WIDE = 8, 1024, 4096
 NODE = "doc_id bigint, tie bigint, node bigint, n int, sketch binary, prefix array<bigint>"
 
 
@@ -41,8 +46,13 @@ def shingle_set(text: str) -> np.ndarray:
     return np.unique(shingle_hashes(text, SHINGLE))
 
 
+def need(n):
+    """Shingles that the prefixes of a set of n and a larger one share at least if the two are linked."""
+    return np.minimum(1 + n // 64, 16)
+
+
 def prefix(hashes: np.ndarray, common_hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The rarest n - ceil(4n/5) + 1 of a sorted set; common_hashes (sorted) have counts, all others 0."""
+    """The rarest n - ceil(4n/5) + need of a sorted set; common_hashes (sorted) have counts, all others 0."""
     n = len(hashes)
     if not n:
         return hashes
@@ -50,7 +60,7 @@ def prefix(hashes: np.ndarray, common_hashes: np.ndarray, counts: np.ndarray) ->
     if len(common_hashes):
         at = np.minimum(np.searchsorted(common_hashes, hashes), len(common_hashes) - 1)
         seen = np.where(common_hashes[at] == hashes, counts[at], 0)
-    return hashes[np.lexsort((hashes, seen))[: n - -(-4 * n // 5) + 1]]
+    return hashes[np.lexsort((hashes, seen))[: n - -(-4 * n // 5) + need(n)]]
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
@@ -150,35 +160,96 @@ def nodes(texts: DataFrame) -> DataFrame:
     return common.materialize(common.map_batches(texts, NODE, run), "shingled")
 
 
+def listed(h: np.ndarray, n: np.ndarray, at: np.ndarray, node: np.ndarray):
+    """Arrays (a, b, need) of whole lists of sets by shingle, sorted by (h, n); at: the shingle's place in the prefix.
+
+    Pairs that a link can need this shingle for, or chains with need 0 of lists with too many pairs.
+    """
+    n, at = n.astype(np.int64), at.astype(np.int64)
+    new = np.append(True, h[1:] != h[:-1])
+    number = np.cumsum(new) - 1
+    length = np.diff(np.append(np.flatnonzero(new), len(h)))
+    dense = length > LISTED
+    x = np.flatnonzero((length > 1)[number] & ~dense[number])
+    found = []
+    for d in range(1, LISTED):
+        x = x[x + d < len(h)]
+        x = x[(h[x] == h[x + d]) & (5 * n[x] >= 4 * n[x + d])]  # sizes rise, so what fails here fails further on
+        if not len(x):
+            break
+        left = np.minimum(n[x] - at[x], n[x + d] - at[x + d])
+        ok = x[9 * (left + need(n[x]) - 1) >= 4 * (n[x] + n[x + d])]
+        found.append((ok, ok + d))
+    a, b = (np.concatenate([f[k] for f in found] or [np.empty(0, np.int64)]) for k in (0, 1))
+    dense |= np.bincount(number[a], minlength=len(length)) > DENSE * length
+    keep = ~dense[number[a]]
+    a, b = a[keep], b[keep]
+    x = np.flatnonzero(dense[number])
+    x = x[x + 1 < len(h)]
+    x = x[(h[x] == h[x + 1]) & (5 * n[x] >= 4 * n[x + 1])]
+    return (
+        np.concatenate([node[a], node[x]]),
+        np.concatenate([node[b], node[x + 1]]),
+        np.concatenate([need(n[a]), np.zeros(len(x), np.int64)]).astype(np.int32),
+    )
+
+
 def candidates(rows: DataFrame) -> DataFrame:
-    """a, b: links whose components hold all pairs of nodes that share a prefix shingle and are alike in size."""
-    schema = common.arrow_schema("a bigint, b bigint")
+    """a, b: links whose components hold all pairs of nodes that can be linked by their prefixes."""
+    schema = common.arrow_schema("a bigint, b bigint, need int")
     each = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    each = each.select("node", "n", F.explode("prefix").alias("h"))
+    each = each.select("node", "n", F.posexplode("prefix").alias("at", "h"))
 
     def run(batches):
-        last = None
+        columns = ("h", "n", "at", "node")
+        held = None
+        long = None  # the shingle of a list that is dense by its length already; its last set is held
+
+        def out(a, b, least):
+            if len(a):
+                columns = [pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(least)]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+        def chained(x):
+            h, n, _, node = (c.astype(np.int64) for c in x)
+            near = 5 * n[:-1] >= 4 * n[1:]
+            return out(node[:-1][near], node[1:][near], np.zeros(int(near.sum()), np.int32))
+
         for b in batches:
-            h, n, node = (b.column(c).to_numpy(zero_copy_only=False) for c in ("h", "n", "node"))
-            if last is not None:
-                h, n, node = (np.concatenate(x) for x in zip(last, (h, n, node), strict=True))
-            if not len(h):
+            now = [b.column(c).to_numpy(zero_copy_only=False) for c in columns]
+            if held is not None:
+                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+            if not len(now[0]):
                 continue
-            last = h[-1:], n[-1:], node[-1:]
-            near = (h[1:] == h[:-1]) & (5 * n[:-1].astype(np.int64) >= 4 * n[1:].astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(node[1:][near]), pa.array(node[:-1][near])], schema=schema)
+            if long is not None:
+                end = int(np.searchsorted(now[0], long, side="right"))
+                yield from chained([x[:end] for x in now])
+                if end == len(now[0]):
+                    held = [x[-1:] for x in now]
+                    continue
+                now, long = [x[end:] for x in now], None
+            end = int(np.searchsorted(now[0], now[0][-1]))  # the last list may go on
+            if end:
+                yield from out(*listed(*[x[:end] for x in now]))
+            held = [x[end:] for x in now]
+            if len(held[0]) > LISTED:
+                yield from chained(held)
+                long, held = held[0][-1], [x[-1:] for x in held]
+        if held is not None and long is None:
+            yield from out(*listed(*held))
 
     dealt = each.repartition(common.tasks_for(rows), "h").sortWithinPartitions("h", "n", "node")
-    return dealt.select("h", "n", "node").mapInArrow(run, "a bigint, b bigint")
+    found = dealt.select("h", "n", "at", "node").mapInArrow(run, "a bigint, b bigint, need int")
+    shared = found.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("need").alias("need"))
+    return shared.where("shared >= need").select("a", "b")
 
 
-def grouped(roots: DataFrame) -> DataFrame:
-    """node, blob, chunks for each node of a component with an edge."""
+def grouped(roots: DataFrame, most: int) -> DataFrame:
+    """node, blob, chunks for each node of a component with an edge; chunks of CHUNK nodes, from 32 chunks on up to ``most``."""
     every = roots.toDF("node", "blob")
     every = common.materialize(every.union(every.select("blob", "blob").distinct()), "groups")
-    return every.join(
-        every.groupBy("blob").agg(F.ceil(F.count("*") / F.lit(CHUNK)).cast("int").alias("chunks")), "blob"
-    )
+    chunk = F.least(F.greatest(F.lit(CHUNK), F.count("*") / F.lit(32)), F.greatest(F.lit(CHUNK), F.lit(most)))
+    return every.join(every.groupBy("blob").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks")), "blob")
 
 
 def compared(rows: DataFrame, find) -> DataFrame:
@@ -233,8 +304,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
         }
 
     wide = components(candidates(shingled))
-    close = components(compared(grouped(wide).join(drawn, "node"), by_sketch))
-    asked = grouped(close).join(best, "node").select(
+    close = components(compared(grouped(wide, WIDE).join(drawn, "node"), by_sketch))
+    asked = grouped(close, CHUNK).join(best, "node").select(
         "node", "blob", "chunks", F.col("best.doc_id").alias("asked_id"), F.col("best.tie").alias("asked_tie")
     )
     found = texts.join(asked, F.col("doc_id").eqNullSafe(F.col("asked_id")) & (F.col("tie") == F.col("asked_tie")))

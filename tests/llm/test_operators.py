@@ -676,6 +676,50 @@ def test_pipeline_dedup_links_by_five_words(spark, monkeypatch, sample, chunk):
     assert corpus_pipeline.dedup_stage(spark, df.limit(0), "").count() == 0
 
 
+def test_pipeline_dedup_groups_nothing_by_chance(spark):
+    """Texts that share a rare passage with the next, but are far from alike, must not grow into one group."""
+    jaccard_dedup = pytest.importorskip("findings_engine.llm.jaccard_dedup")
+    texts = []
+    for i in range(60):
+        words = [f"w{i}x{k}" for k in range(300)]
+        words[100:105], words[200:205] = ([f"p{j}x{k}" for k in range(5)] for j in (i, i + 1))
+        texts.append((i, i, " ".join(words)))
+    shingled = jaccard_dedup.nodes(spark.createDataFrame(texts, "doc_id bigint, tie bigint, text string"))
+    assert jaccard_dedup.candidates(shingled).count() == 0
+
+
+def test_shared_shingles_lose_no_link(monkeypatch):
+    """Lists of any length, cut anywhere into batches, hold all pairs of linked sets, as pairs or by chains."""
+    jaccard_dedup = pytest.importorskip("findings_engine.llm.jaccard_dedup")
+    r = np.random.default_rng(5)
+    none = np.empty(0, np.uint64)
+    for most in (4, 1024):
+        monkeypatch.setattr(jaccard_dedup, "LISTED", most)
+        sets = []
+        for n in (3, 30, 70, 200, 900):
+            base = r.integers(0, 1 << 62, n).astype(np.uint64)
+            for k in range(12):
+                less = r.choice(base, n - n * k // 60, replace=False)
+                sets.append(np.unique(np.append(less, r.integers(0, 1 << 62, n * (k % 4) // 30).astype(np.uint64))))
+        rows = [(int(h), len(s), at, i) for i, s in enumerate(sets) for at, h in enumerate(jaccard_dedup.prefix(s, none, none))]
+        h, n, at, node = (np.array(c) for c in zip(*sorted(rows, key=lambda x: (x[0], x[1], x[3])), strict=True))
+        a, b, least = jaccard_dedup.listed(h, n, at, node)
+        seen = {}
+        for x, y, k in zip(a.tolist(), b.tolist(), least.tolist(), strict=True):
+            c, m = seen.get((x, y), (0, k))
+            seen[x, y] = c + 1, min(m, k)
+        labels = np.arange(len(sets))
+        good = np.array([p for p, (c, m) in seen.items() if c >= m])
+        simhash_dedup.union(labels, good[:, 0], good[:, 1])
+        links = 0
+        for i, j in itertools.combinations(range(len(sets)), 2):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 9 * both >= 4 * (len(sets[i]) + len(sets[j])):
+                links += 1
+                assert labels[i] == labels[j]
+        assert links > 50
+
+
 @pytest.mark.parametrize("kind", ["empty", "equal", "mixed"])
 def test_tied_neighbours_fill_windows(kind):
     r = np.random.default_rng(5)
