@@ -50,9 +50,9 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group linked by five-word shingles at similarity 0.8.
 
     The one with the smallest id (a missing id comes last), of a repeated id the first
-    by its text's digest, of equal rows one. Fingerprints within two bits, as op1 links
-    them, lose half of these links, so the SimHash operator's words, hashes and
-    components are kept here and a prefix filter with an exact check finds the pairs.
+    by its text's digest, of equal rows one. Candidates are sets whose SimHash fingerprints
+    op1's Gray-order index finds within two bits. Those are only the closest, so a prefix
+    filter adds all others that can be linked, and an exact check decides on both.
     """
     return jaccard_dedup.keep_one(docs)
 

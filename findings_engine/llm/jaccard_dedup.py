@@ -4,7 +4,9 @@ Two texts are linked if their sets of SHINGLE-word shingles (words and hashes as
 in simhash_dedup) share 4/5 of their union or more; components of links are groups.
 
 1. Equal sets fold into one node before anything else moves.
-2. Candidates by prefix filter. Linked sets share 4/5 of the larger one at least,
+2. Candidates by op1's method: a SimHash of each set, and all within its radius by
+   the Gray-order index. It finds the closest pairs only, so a prefix filter finds the
+   rest; the same exact check decides on both. Linked sets share 4/5 of the larger one at least,
    so under any common order of all shingles the first n - ceil(4n/5) + k of each
    hold the first k common ones. The order is rare first, by counts in a sample of at
    most about SAMPLE texts, then by hash: the sample decides the cost, never the result.
@@ -34,12 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .simhash_dedup import components, shingle_hashes, signed, union
+from .simhash_dedup import components, links, majority, shingle_hashes, signed, union
 
 SHINGLE = 5
 SAMPLE, FREQUENT, CHUNK, COLUMNS, CELLS = 1 << 16, 1 << 18, 512, 4096, 256
 DENSE, LISTED, WIDE = 8, 1024, 4096
-NODE = "doc_id bigint, tie bigint, node bigint, n int, sketch binary, prefix array<bigint>"
+NODE = "doc_id bigint, tie bigint, node bigint, n int, fp bigint, sketch binary, prefix array<bigint>"
 
 
 def shingle_set(text: str) -> np.ndarray:
@@ -153,6 +155,7 @@ def nodes(texts: DataFrame) -> DataFrame:
             "tie": b.column("tie"),
             "node": [signed(xxhash.xxh64_intdigest(s.tobytes(), 42)) for s in found],
             "n": [len(s) for s in found],
+            "fp": [signed(majority(s)) for s in found],
             "sketch": [sketch(s).tobytes() for s in found],
             "prefix": [prefix(s, *shared.value).view(np.int64) for s in found],
         }
@@ -160,6 +163,16 @@ def nodes(texts: DataFrame) -> DataFrame:
     return common.materialize(common.map_batches(texts, NODE, run), "shingled")
 
 
+def fingerprinted(rows: DataFrame) -> DataFrame:
+    """a, b: links whose components hold all pairs of nodes with fingerprints within simhash_dedup's radius."""
+    each = rows.select("fp", "node").distinct()
+    first = common.materialize(each.groupBy("fp").agg(F.min("node").alias("node")), "fingerprints")
+    equal = each.join(first.withColumnRenamed("node", "b"), "fp").where("node <> b").select(F.col("node").alias("a"), "b")
+    near = links(first.select("fp")).toDF("x", "y")
+    near = near.join(first.toDF("x", "a"), "x").join(first.toDF("y", "b"), "y").select("a", "b")
+    return equal.union(near)
+
+
 def listed(h: np.ndarray, n: np.ndarray, at: np.ndarray, node: np.ndarray):
     """Arrays (a, b, need) of whole lists of sets by shingle, sorted by (h, n); at: the shingle's place in the prefix.
 
@@ -303,7 +316,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
             "hashes": [shingle_set(t).tobytes() for t in b.column("text").to_pylist()],
         }
 
-    wide = components(candidates(shingled))
+    wide = components(fingerprinted(shingled).union(candidates(shingled)))
     close = components(compared(grouped(wide, WIDE).join(drawn, "node"), by_sketch))
     asked = grouped(close, CHUNK).join(best, "node").select(
         "node", "blob", "chunks", F.col("best.doc_id").alias("asked_id"), F.col("best.tie").alias("asked_tie")

@@ -688,6 +688,25 @@ def test_pipeline_dedup_groups_nothing_by_chance(spark):
     assert jaccard_dedup.candidates(shingled).count() == 0
 
 
+def test_pipeline_dedup_uses_the_simhash_index(spark, monkeypatch):
+    """The stage asks op1's index, whose candidates are all nodes with fingerprints within two bits."""
+    jaccard_dedup = pytest.importorskip("findings_engine.llm.jaccard_dedup")
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    df = spark.createDataFrame([(i, i, t or "") for i, t in enumerate(_near_texts())], "doc_id bigint, tie bigint, text string")
+    shingled = common.materialize(jaccard_dedup.nodes(df).select("node", "fp").distinct(), "shingled")
+    rows = shingled.collect()
+    place = {r.node: k for k, r in enumerate(rows)}
+    edges = np.array([(place[r.a], place[r.b]) for r in jaccard_dedup.fingerprinted(shingled).collect()])
+    labels = np.arange(len(rows))
+    simhash_dedup.union(labels, edges[:, 0], edges[:, 1])
+    near = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if ((rows[i].fp ^ rows[j].fp) & (1 << 64) - 1).bit_count() <= 2]
+    assert len(near) > 5 and all(labels[i] == labels[j] for i, j in near)
+    asked = []
+    monkeypatch.setattr(jaccard_dedup, "links", lambda d: asked.append(1) or simhash_dedup.links(d))
+    corpus_pipeline.dedup_stage(spark, df.limit(5), "")
+    assert asked
+
+
 def test_shared_shingles_lose_no_link(monkeypatch):
     """Lists of any length, cut anywhere into batches, hold all pairs of linked sets, as pairs or by chains."""
     jaccard_dedup = pytest.importorskip("findings_engine.llm.jaccard_dedup")
