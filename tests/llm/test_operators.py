@@ -676,9 +676,10 @@ def test_pipeline_dedup_links_by_five_words(spark, monkeypatch, sample, chunk):
     assert corpus_pipeline.dedup_stage(spark, df.limit(0), "").count() == 0
 
 
-def test_pipeline_dedup_groups_nothing_by_chance(spark):
-    """Texts that share a rare passage with the next, but are far from alike, must not grow into one group."""
+def test_pipeline_dedup_groups_nothing_by_chance(spark, monkeypatch):
+    """Texts that share a passage with the next, which a small sample doesn't show, must not grow into one group."""
     jaccard_dedup = pytest.importorskip("findings_engine.llm.jaccard_dedup")
+    monkeypatch.setattr(jaccard_dedup, "SAMPLE", 1)
     texts = []
     for i in range(60):
         words = [f"w{i}x{k}" for k in range(300)]
