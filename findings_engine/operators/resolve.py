@@ -7,6 +7,8 @@ word), and the definitions of a name are indexed by the same keys, one row a
 (name, key) with the first and the last definition that has it. A decision only
 asks whether none, one or several definitions match: one if first and last are
 the same. So rows grow with what notes say, not with references times definitions.
+In all of this a definition is its place among those of its name: numbers are
+folded by hash, and the definition itself is looked up once, at the end.
 """
 
 from __future__ import annotations
@@ -27,6 +29,11 @@ def _locations(symbols: DataFrame) -> DataFrame:
     return symbols.select("name", F.struct("path", "line", "kind", "qualified_name", parts.alias("parts")).alias("loc"))
 
 
+def placed(symbols: DataFrame) -> DataFrame:
+    """name, at, loc: each definition by its place among those of its name."""
+    return _locations(symbols).withColumn("at", F.dense_rank().over(Window.partitionBy("name").orderBy("loc")))
+
+
 def _suffixes(parts: Column, glue: str) -> Column:
     """The last 1, 2, ... of the parts, joined."""
     n = F.size(parts)
@@ -43,8 +50,8 @@ def _some(when: Column, value: Column) -> Column:
     return F.when(F.coalesce(when, F.lit(False)), F.array(value)).otherwise(F.array().cast("array<string>"))
 
 
-def definition_keys(symbols: DataFrame) -> DataFrame:
-    """name, key, lo, hi: the first and the last definition of a name that a key stands for.
+def definition_keys(places: DataFrame) -> DataFrame:
+    """name, key, lo, hi: the places of the first and the last definition of a name that a key stands for.
 
     Keys: s: a qualified name or one of its dotted suffixes, w: a dotted qualified
     name, p: a suffix of the path's parts, q: a qualified name other than the name
@@ -60,8 +67,8 @@ def definition_keys(symbols: DataFrame) -> DataFrame:
         F.array(F.concat(F.lit("f:"), path), F.concat(F.lit("o:"), path), F.concat(F.lit("o:"), C.location(path, F.col("loc.line")))),
         _some(named, F.concat(F.lit("o:"), q)),
     )
-    each = _locations(symbols).select("name", "loc", F.explode(F.array_distinct(keys)).alias("key"))
-    return each.groupBy("name", "key").agg(F.min("loc").alias("lo"), F.max("loc").alias("hi"))
+    each = places.select("name", "at", F.explode(F.array_distinct(keys)).alias("key"))
+    return each.groupBy("name", "key").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
 
 
 #: Two runs of word characters with one character between, or one run, that stand inside a path with
@@ -73,18 +80,26 @@ def _path_key(path: Column) -> Column:
     return F.coalesce(C.first_group(path, _PAIR), C.first_group(path, _RUN))
 
 
-def paths_in_notes(notes: DataFrame, symbols: DataFrame) -> DataFrame:
-    """note, paths: the definitions' paths with a key that stand in the note's text, wherever."""
+def near_paths(notes: DataFrame, symbols: DataFrame) -> DataFrame:
+    """note, near: the definitions' paths whose key stands in the note's text; whether all of a path does is left to see.
+
+    Only words that one of the keys' own separators joins are looked at.
+    """
     keyed = symbols.select("path").distinct().select(_path_key(F.col("path")).alias("key"), "path").where("key is not null")
-    body = F.col("body")
-    words = F.array_union(C.find_all(body, r"(?<!\w)(?=(\w+\W\w+))"), C.find_all(body, r"\w+", 0))
-    near = notes.select("note", F.explode(words).alias("key")).join(keyed, "key").select("note", "path").distinct()
-    found = near.join(notes.select("note", "body"), "note").where(F.contains("body", "path"))
-    return found.groupBy("note").agg(F.collect_set("path").alias("paths"))
+    glue = C.first_group(F.col("key"), r"(?s)\A\w+(\W)\w+\z")
+    shape = keyed.agg(F.collect_set(glue).alias("glue"), F.coalesce(F.max(glue.isNull()), F.lit(False)).alias("runs"))
+    any_of = F.array_join(F.transform("glue", lambda g: F.concat(F.lit("\\x{"), F.hex(F.ascii(g)), F.lit("}"))), "")
+    shape = shape.select(F.when(F.size("glue") > 0, F.concat(F.lit(r"(?<!\w)(?=(\w++["), any_of, F.lit(r"]\w+))"))).alias("pairs"), "glue", "runs")
+    body, none = F.col("body"), F.array().cast("array<string>")
+    glued = F.exists("glue", lambda g: F.contains(body, g))
+    pairs = F.when(glued, F.call_function("regexp_extract_all", body, F.col("pairs"), F.lit(1))).otherwise(none)
+    words = F.array_union(pairs, F.when(F.col("runs"), C.find_all(body, r"\w+", 0)).otherwise(none))
+    said = notes.crossJoin(F.broadcast(shape)).select("note", F.explode(words).alias("key"))  # one row is broadcast
+    return said.join(keyed, "key").groupBy("note").agg(F.collect_set("path").alias("near"))
 
 
 def names_of(symbols: DataFrame) -> DataFrame:
-    """name, n (definitions), only (the first), and what its keys need of a text.
+    """name, n (definitions) and what its keys need of a text.
 
     lengths: of what stands before ``.name`` in its qualified names; odd: qualified
     names that don't end so; loose: paths without a key. The last two are compared
@@ -95,7 +110,6 @@ def names_of(symbols: DataFrame) -> DataFrame:
     ends = q.endswith(F.concat(F.lit("."), name))
     return _locations(symbols).groupBy("name").agg(
         F.count("*").alias("n"),
-        F.min("loc").alias("only"),
         F.collect_set(F.when(other & ends, F.length(q) - F.length(name) - 1)).alias("lengths"),
         F.collect_set(F.when(other & ~ends, q)).alias("odd"),
         F.collect_set(F.when(_path_key(F.col("loc.path")).isNull(), F.col("loc.path"))).alias("loose"),
@@ -106,12 +120,14 @@ def dotted_refs(chains: Column, name: Column) -> Column:
     """Spellings of ``name`` with a prefix: each chain up to the name's last place in it."""
 
     def upto(chain):
-        parts = F.split(chain, r"\.")
-        back = F.array_position(F.reverse(parts), name).cast("int")
-        at = F.size(parts) - back + 1
-        return F.when((back > 0) & (at > 1), C.strip_syntax(F.array_join(F.slice(parts, 1, F.greatest(at, F.lit(1))), ".")))
+        whole, one = F.concat(F.lit("."), chain, F.lit(".")), F.concat(F.lit("."), name, F.lit("."))
+        # What the last such part leaves behind; all, if there is none.
+        rest = F.call_function("substring_index", whole, one, F.lit(-1))
+        n = F.length(whole) - F.length(rest)
+        return F.when(n > F.length(one), C.strip_syntax(F.substr(whole, F.lit(2), n - 2)))
 
-    return F.array_sort(F.array_distinct(F.filter(F.transform(chains, upto), lambda r: r.isNotNull() & r.contains("."))))
+    mine = F.filter(chains, lambda c: c.contains(name))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(mine, upto), lambda r: r.isNotNull() & r.contains("."))))
 
 
 def matches_qualified(loc: Column, ref: Column) -> Column:
@@ -134,30 +150,34 @@ def _qualified_in(body: Column, name: Column, lengths: Column) -> Column:
     dotted = F.concat(F.lit("."), name)
     parts = F.split(body, F.concat(F.lit("\\Q"), F.replace(dotted, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")), -1)
 
+    one = lambda x: F.transform(F.filter(lengths, lambda k: k <= F.length(x)), lambda k: F.concat(F.right(x, k), dotted))
+
     def at(p):
         before = F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: F.call_function("array_join", F.slice(p, 1, i), dotted))
-        one = lambda x: F.transform(F.filter(lengths, lambda k: k <= F.length(x)), lambda k: F.concat(F.right(x, k), dotted))
         return F.when(F.size(p) > 1, F.flatten(F.transform(before, one))).otherwise(F.array().cast("array<string>"))
 
-    return F.when(F.size(lengths) > 0, C.let(parts, at)).otherwise(F.array().cast("array<string>"))
+    # Most names have one such place, which needs no list of parts.
+    upto = lambda n: F.call_function("substring_index", body, dotted, F.lit(n))
+    single = F.concat(upto(1), dotted, upto(-1)) == body
+    some = F.when(single, C.let(upto(1), one)).otherwise(C.let(parts, at))
+    return F.when((F.size(lengths) > 0) & F.contains(body, dotted), some).otherwise(F.array().cast("array<string>"))
 
 
 def _keys(refs: Column, name: Column, body: Column, want: Column) -> Column:
     """The keys that a note gives for a name."""
 
     def spelled(r):
-        segments = F.split(r, r"\.")
-        path = F.array(F.array_join(F.slice(segments, 1, F.size(segments) - 1), "/"), F.array_join(segments, "/"))
-        longer = F.filter(_suffixes(segments, "."), lambda x: x.contains("."))
-        return F.concat(F.array(F.concat(F.lit("s:"), r)), _marked("w:", longer), _marked("p:", path))
+        path = F.replace(r, F.lit("."), F.lit("/"))
+        above = F.left(path, F.length(path) - F.length(C.tail(r)) - 1)
+        own = F.array(F.concat(F.lit("s:"), r), F.concat(F.lit("p:"), above), F.concat(F.lit("p:"), path))
+        return F.concat(own, _marked("w:", C.find_all(r, r"(?<![^.])(?=([^.]+\..+))")))
 
     within = lambda c: F.filter(c, lambda x: F.contains(body, x))
-    paths = F.coalesce(F.col("paths"), F.array().cast("array<string>"))
     return F.array_distinct(
         F.concat(
             F.flatten(F.transform(refs, spelled)),
             _marked("q:", F.concat(_qualified_in(body, name, F.col("lengths")), within(F.col("odd")))),
-            _marked("f:", F.concat(paths, within(F.col("loose")))),
+            _marked("f:", F.concat("paths", within(F.col("loose")))),
             _some(want.isNotNull(), F.concat(F.lit("o:"), want)),
         )
     )
@@ -169,19 +189,22 @@ def resolve(refs: DataFrame, notes: DataFrame, symbols: DataFrame) -> DataFrame:
     note, name, evidence, reason, location (null where the link is withheld) and
     definitions (how many the name has).
     """
+    places = placed(symbols)
+    within = F.filter("near", lambda p: F.contains(F.col("body"), p))
     texts = notes.select("note", "body", "overrides", C.find_all(F.col("body"), rx.CHAIN, 0).alias("chains"))
-    rows = refs.join(names_of(symbols), "name").join(texts, "note").join(paths_in_notes(notes, symbols), "note", "left")
+    texts = texts.join(near_paths(notes, symbols), "note", "left").select("note", "body", "overrides", "chains", F.coalesce(within, F.array().cast("array<string>")).alias("paths"))
+    rows = refs.join(names_of(symbols), "name").join(texts, "note")
     wanted = F.try_element_at("overrides", F.col("name"))
     rows = rows.withColumn("want", wanted).withColumn("refs", dotted_refs(F.col("chains"), F.col("name")))
     keys = _keys(F.col("refs"), F.col("name"), F.col("body"), F.col("want"))
-    info = F.struct("evidence", "n", "only", F.col("want").isNotNull().alias("wanted"), "refs")
-    key = lambda k: F.struct(k.alias("key"), F.lit(None).cast(_INFO).alias("info"))
-    # What belongs to the reference travels once, on a row of its own without a key.
-    own = F.array(F.struct(F.lit(None).cast("string").alias("key"), info.cast(_INFO).alias("info")))
-    each = rows.select("note", "name", keys.alias("keys"), own.alias("own")).select(
-        "note", "name", F.explode(F.concat("own", F.transform("keys", key))).alias("e")
-    )
-    each = each.select("note", "name", "e.key", "e.info").join(definition_keys(symbols), ["name", "key"], "left")
+    # A key of the reference's own, that no definition has, keeps a reference without any other; spread by note.
+    own = F.array(F.concat(F.lit("\0"), F.col("note")))
+    known = ("note", "name", "evidence", "n", "wanted", "dotted", "spelled")
+    rows = rows.select("note", "name", "evidence", "n", F.col("want").isNotNull().alias("wanted"), "refs", "paths", "loose", keys.alias("keys"))
+    # The spellings are asked again only where a path stands in the note.
+    asked = F.when(F.size("paths") + F.size("loose") > 0, F.col("refs"))
+    rows = rows.select("note", "name", "evidence", "n", "wanted", (F.size("refs") > 0).alias("dotted"), asked.alias("spelled"), "keys")
+    each = rows.select(*known, F.explode(F.concat(own, "keys")).alias("key")).join(definition_keys(places), ["name", "key"], "left")
     mark = F.left("key", F.lit(2))
     span = [
         x
@@ -191,44 +214,50 @@ def resolve(refs: DataFrame, notes: DataFrame, symbols: DataFrame) -> DataFrame:
             F.max(F.when(mark.isin(*marks), F.col("hi"))).alias(f"{short}_hi"),
         )
     ]
-    found = each.groupBy("note", "name").agg(F.first("info", True).alias("info"), *span).select("note", "name", "info.*", *_SPANS)
+    found = each.groupBy(*known).agg(*span)
 
     some = lambda k: F.col(f"{k}_lo").isNotNull()
     one = lambda k: some(k) & (F.col(f"{k}_lo") == F.col(f"{k}_hi"))
     many = lambda k: some(k) & (F.col(f"{k}_lo") != F.col(f"{k}_hi"))
-    dotted = F.size("refs") > 0
+    dotted = F.col("dotted")
     d, d_one = some("dq") | some("dp"), F.when(some("dq"), one("dq")).otherwise(one("dp"))
     # Whether the one definition whose path stands in the note is among those that the dotted spellings match.
-    agrees = F.when(some("dq"), F.exists("refs", lambda r: matches_qualified(F.col("p_lo"), r))).otherwise(
-        F.exists("refs", lambda r: matches_path(F.col("p_lo"), F.split(r, r"\.")))
+    found = _look_up(found, places, F.when(dotted & d & one("p"), F.col("p_lo")), "at_path")
+    spelled = F.coalesce("spelled", F.array().cast("array<string>"))
+    agrees = F.when(some("dq"), F.exists(spelled, lambda r: matches_qualified(F.col("at_path"), r))).otherwise(
+        F.exists(spelled, lambda r: matches_path(F.col("at_path"), F.split(r, r"\.")))
     )
     decided = [
-        (F.col("wanted") & some("o"), "frontmatter-override", "o_lo"),
+        (F.col("wanted") & some("o"), "frontmatter-override", F.col("o_lo")),
         (F.col("wanted"), "override-unmatched", None),
         (dotted & ~d, "dotted-unmatched", None),
-        (F.col("n") == 1, "unique", "only"),
+        (F.col("n") == 1, "unique", F.lit(1)),
         (many("q"), "multiple-qualified-names", None),
         (many("p"), "multiple-paths-in-note", None),
         (one("q") & one("p") & (F.col("q_lo") != F.col("p_lo")), "qualified-name-and-path-disagree", None),
         (dotted & d & one("p") & ~agrees, "dotted-and-path-disagree", None),
-        (one("q"), "qualified-name", "q_lo"),
-        (one("p"), "path-in-note", "p_lo"),
-        (dotted & d_one & some("dq"), "dotted-name", "dq_lo"),
-        (dotted & d_one, "dotted-path", "dp_lo"),
+        (one("q"), "qualified-name", F.col("q_lo")),
+        (one("p"), "path-in-note", F.col("p_lo")),
+        (dotted & d_one & some("dq"), "dotted-name", F.col("dq_lo")),
+        (dotted & d_one, "dotted-path", F.col("dp_lo")),
         (dotted, "dotted-ambiguous", None),
     ]
-    reason, place = None, None
-    for when, code, loc in decided:
+    reason = None
+    for when, code, _ in decided:
         reason = (F if reason is None else reason).when(when, code)
-        place = (F if place is None else place).when(when, F.lit(None) if loc is None else F.col(loc))
-    return found.select(
-        "note", "name", "evidence", reason.otherwise("ambiguous").alias("reason"), place.alias("location"), F.col("n").alias("definitions")
-    )
-
-
-_LOC = "struct<path:string,line:int,kind:string,qualified_name:string,parts:array<string>>"
-_INFO = f"struct<evidence:string,n:bigint,only:{_LOC},wanted:boolean,refs:array<string>>"
-_SPANS = [f"{k}_{end}" for k in ("dq", "dp", "q", "p", "o") for end in ("lo", "hi")]
+    found = found.withColumn("reason", reason.otherwise("ambiguous"))
+    place = None
+    for _, code, at in decided:
+        if at is not None:
+            place = (F if place is None else place).when(F.col("reason") == code, at)
+    return _look_up(found, places, place, "location").select("note", "name", "evidence", "reason", "location", F.col("n").alias("definitions"))
+
+
+def _look_up(rows: DataFrame, places: DataFrame, at: Column, name: str) -> DataFrame:
+    """rows with the definition of their name at a place, null where it is null; those are spread by note."""
+    none = -(F.pmod(F.xxhash64("note"), F.lit(1 << 20)) + 1)
+    own = places.select("name", F.col("at").cast("long").alias("_at"), F.col("loc").alias(name))
+    return rows.withColumn("_at", F.coalesce(at.cast("long"), none)).join(own, ["name", "_at"], "left").drop("_at")
 
 
 def cap_links(decisions: DataFrame, max_links: int = DEFAULT_MAX_LINKS) -> DataFrame:

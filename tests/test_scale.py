@@ -1,10 +1,13 @@
 """What must not grow with the notes: lists that nobody reads, work that is done once a note instead of once a text."""
 
+import time
 
 from pyspark.sql import functions as F
 
 from findings_engine.functions import columns as C
 from findings_engine.operators import findings as N
+from findings_engine.operators import references as R
+from findings_engine.operators import resolve as V
 from findings_engine.plans import queries as Q
 
 
@@ -19,6 +22,37 @@ def test_status_and_lint_totals_collect_no_lists(spark, sf):
     assert plan.count("collect_list") == plan.count("collect_list(struct(status")
 
 
+def test_long_frontmatter_is_parsed_once(spark):
+    lines = "\n".join(f"k{i % 1500}: v{i}" for i in range(2000))
+    df = spark.createDataFrame([(f"---\n{lines}\n---\nbody",)], "text string")
+    began = time.time()
+    fm = df.select(R.frontmatter(F.col("text")).alias("fm")).first().fm
+    assert len(fm) == 1500 and fm["k0"] == "v1500" and fm["k499"] == "v1999" and fm["k500"] == "v500"
+    assert time.time() - began < 60
+
+
+def test_decisions_fold_numbers(spark):
+    """No definition travels through the folds, so they are done by hash."""
+    notes = spark.createDataFrame([("n", "`a.run`", {})], "note string, body string, overrides map<string,string>")
+    defs = spark.createDataFrame([("run", "a.py", 1, "fn", "a.run")], "name string, path string, line int, kind string, qualified_name string")
+    refs = spark.createDataFrame([("n", "run", "inline-code")], "note string, name string, evidence string")
+    got = V.resolve(refs, notes, defs)
+    assert "SortAggregate" not in got._jdf.queryExecution().sparkPlan().toString()
+    assert got.first().reason == "unique"
+
+
+def test_files_are_resolved_once_a_spelling(spark):
+    refs = spark.createDataFrame([(f"n{i}", "x/a.py", "bare", 0) for i in range(3)] + [("n9", "b.py", "bare", 0), ("n9", "/b.py", "bare", 1)],
+                                 "note string, ref string, evidence string, pos int")
+    files = R.repo_files(spark.createDataFrame([("x/a.py",), ("y/x/a.py",), ("zx/a.py",), ("b.py",), ("q/xb.py",)], "path string"))
+    got = R.resolve_files(refs, files)
+    assert {(r.note, r.ref): r.matches for r in got.collect()} == {
+        **{(f"n{i}", "x/a.py"): ["x/a.py", "y/x/a.py"] for i in range(3)}, ("n9", "b.py"): ["b.py"], ("n9", "/b.py"): [],
+    }
+    plan = _plan(got)
+    assert "Aggregate [ref" in plan and "Aggregate [note" not in plan
+
+
 def test_heading_facts_and_ends(spark):
     texts = ["## RES-1 — a [LOW]\n### ſtatus: closed\n", "## RES-2: b\n # x\n### partially  CLOSED ", "## RES-3 c\n### SEVERITY: high [LOW]\n### Status: reopened"]
     df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "path string, text string")
