@@ -55,8 +55,8 @@ def check(
         ),
     ]
     if symbols is not None:
-        cand = symbol_refs(notes, symbols, DEFAULT_MIN_LEN).join(known.where("not ubiquitous").select("name"), "name", "left_semi")
-        parts.append(cand.where(~F.lower("name").isin(*stop)).groupBy("note").agg(F.lit(True).alias("cand")))
+        cand = symbol_refs(notes, known, DEFAULT_MIN_LEN, flag="ubiquitous").where(~F.col("ubiquitous") & ~F.lower("name").isin(*stop))
+        parts.append(cand.groupBy("note").agg(F.lit(True).alias("cand")))
     if titles is not None:
         parts.append(duplicates(found, titles))
     facts = found.select(F.col("id").alias("note"), "has_status", "has_severity")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from findings_engine.functions import columns as C
 from findings_engine.operators import findings as N
+from findings_engine.operators import quality as L
 from findings_engine.operators import references as R
 from findings_engine.operators import resolve as V
 from findings_engine.plans import queries as Q
@@ -53,6 +54,19 @@ def test_files_are_resolved_once_a_spelling(spark):
     assert "Aggregate [ref" in plan and "Aggregate [note" not in plan
 
 
+def test_lint_joins_the_index_once_for_candidates(spark):
+    found = spark.createDataFrame(
+        [("RES-1", "wide_name and `x.rare_name`", True, True), ("RES-2", "wide_name", True, True), ("RES-3", "rare_name", True, True)],
+        "id string, blob string, has_status boolean, has_severity boolean",
+    )
+    defs = [("wide_name", f"p{i}.py", 1, "fn", None) for i in range(6)] + [("rare_name", "p.py", 1, "fn", None)]
+    index = spark.createDataFrame(defs, "name string, path string, line int, kind string, qualified_name string")
+    got = L.check(found, index)
+    assert {(r.id, r.code) for r in got.collect()} == {("RES-2", "prose-only")}
+    # Counted twice, for tokens and for candidates; the candidates' join brings along what else is asked of a name.
+    assert _plan(got).count("count(distinct path") + _plan(got).count("count(path") == 2
+
+
 def test_heading_facts_and_ends(spark):
     texts = ["## RES-1 — a [LOW]\n### ſtatus: closed\n", "## RES-2: b\n # x\n### partially  CLOSED ", "## RES-3 c\n### SEVERITY: high [LOW]\n### Status: reopened"]
     df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "path string, text string")
