@@ -9,6 +9,8 @@ from findings_engine.operators import findings as N
 from findings_engine.operators import quality as L
 from findings_engine.operators import references as R
 from findings_engine.operators import resolve as V
+from findings_engine.plans import incremental as X
+from findings_engine.plans import link as K
 from findings_engine.plans import queries as Q
 
 
@@ -54,6 +56,20 @@ def test_files_are_resolved_once_a_spelling(spark):
     assert "Aggregate [ref" in plan and "Aggregate [note" not in plan
 
 
+def test_a_relink_parses_file_references_once(spark, monkeypatch):
+    asked = []
+    of = R.file_refs
+    monkeypatch.setattr(R, "file_refs", lambda notes: asked.append(1) or of(notes))
+    notes = spark.createDataFrame([("n", "`run` in a.py and x/a.py", {})], "note string, body string, overrides map<string,string>")
+    defs = spark.createDataFrame([("run", "x/a.py", 1, "fn", "a.run")], "name string, path string, line int, kind string, qualified_name string")
+    files, options = R.repo_files(defs.select("path")), K.LinkOptions(min_len=2)
+    first = K.link(notes, defs, files, options)
+    asked.clear()
+    done, skipped = X.relink(notes, defs, files, X.state_of(first, defs, options), first.decisions, options)
+    assert skipped.count() == 1 and [tuple(r) for r in done.links.collect()] == [tuple(r) for r in first.links.collect()]
+    assert len(asked) == 1
+
+
 def test_lint_joins_the_index_once_for_candidates(spark):
     found = spark.createDataFrame(
         [("RES-1", "wide_name and `x.rare_name`", True, True), ("RES-2", "wide_name", True, True), ("RES-3", "rare_name", True, True)],
